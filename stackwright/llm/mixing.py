@@ -150,7 +150,7 @@ def mix_sources(
     )
     small = F.broadcast if len(found) <= BROADCAST_SOURCES else lambda x: x
 
-    docs_ = slim.join(small(info), F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
+    docs_ = slim.join(small(info), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     docs_ = docs_.withColumn("part", (F.shiftrightunsigned("h", 64 - (RANGES.bit_length() - 1))).cast("int"))
     order = Window.partitionBy("sid", "part").orderBy("h", "doc_id", "size")
     placed = docs_.withColumn("rn", F.row_number().over(order)).withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -190,5 +190,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", zero("taken"), zero("slots"))
 
 
+def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (all columns), each whole document once for every pass of its
+    source in which the mix takes from it.  Rows that repeat an id and source
+    get the copies of the one that has most."""
+    places, pieces = mix_sources(docs, **options)
+    passes = pieces.groupBy("sid", "part", "rn").agg(F.count_distinct("pass_no").alias("n"))
+    ids = places.select("sid", "part", "rn", F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"))
+    copies = ids.join(passes, ["sid", "part", "rn"]).groupBy("of_id", "of_source").agg(F.max("n").cast("int").alias("n_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source"))
+    out = docs.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(table(spark, sf_dir, "documents"))
