@@ -10,12 +10,15 @@ band with probability 0.998.
 Candidates aren't all pairs of a band's bucket.  Each bucket has a hub, the
 text whose buckets hold most texts, and every member meets the hub.  In a bucket
 of several classes after that, all pairs across classes meet if it is small;
-members of a large one are split by what other bands they share, and the
-same follows there, up to three bands; what is then left in large buckets meets
-new hubs until nothing is left.  Pairs whose 27 samples agree in under half are
-dropped (3.9 standard deviations below 0.8); the others are verified by weighted
-Jaccard similarity of the whole texts.  Classes are the connected components of
-the verified pairs; equal texts are in one class without any pair.
+members of a large one are split by what other bands they share, and the same
+follows there, up to three bands.  What is then left in large buckets are texts
+of one origin that have drifted from its centre: each meets 32 of its bucket, or
+with ``exhaustive`` twice as many again and again until all have met, which takes
+quadratic time in the size of such a bucket.  Pairs whose 27 samples agree in
+under half are dropped (3.9 standard deviations below 0.8); the others are
+verified by weighted Jaccard similarity of the whole texts.  Classes are the
+connected components of the verified pairs; equal texts are in one class
+without any pair.
 
 Defined results: a null text is alone in its class (class_id is its doc_id, null
 for a null id); texts without words are in one class only if equal; repeated
@@ -24,6 +27,8 @@ rows share a class; an empty table gives an empty result.  Other columns are ign
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -239,7 +244,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 # --- classes ----------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, exhaustive: bool = False) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), n_class (rows in
     it) for every row of ``docs`` (doc_id, text)."""
     docs = plain(docs, "doc_id", "text")
@@ -248,7 +253,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = sketches(docs, idf)
     nodes = rows.filter("tid is not null").groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
     nodes = staged(nodes, "neardup-nodes")
-    edges = _similar_edges(docs, nodes, idf, threshold)
+    edges = _similar_edges(docs, nodes, idf, threshold, exhaustive)
     if edges is None:
         comps = nodes.select("tid", F.col("tid").alias("comp"))
     else:
@@ -261,84 +266,87 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return known.unionByName(alone)
 
 
-def _similar_edges(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame | None:
+def _similar_edges(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float, exhaustive: bool) -> DataFrame | None:
     """The verified pairs (a, b) between different texts, staged."""
-    spread = nodes.filter("bands is not null").select("tid", "bands", F.posexplode("bands").alias("band", "key"))
+    spread = nodes.filter("bands is not null").select("tid", F.explode("bands").alias("key"))
     often = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = staged(spread.select("tid", "key").join(often, "key"), "neardup-members")
-    mass = members.groupBy("tid").agg(F.sum("n").alias("mass"))
-    met = staged(mass.join(nodes.select("tid", "first_id", "bands", "sig"), "tid"), "neardup-met")
+    found = staged(spread.join(often, "key"), "neardup-members")
+    met = staged(found.groupBy("tid").agg(F.sum("n").alias("mass")).join(nodes, "tid"), "neardup-met")
     # The whole texts of those that share a bucket.
     said = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
     texts = said.join(met.select("tid", "first_id"), (said["tid"] == met["tid"]) & said["doc_id"].eqNullSafe(met["first_id"]), "left_semi").select("tid", "text")
-    texts = staged(texts.dropDuplicates(["tid"]), "neardup-texts")
+    meet = _Meetings(met, staged(texts.dropDuplicates(["tid"]), "neardup-texts"), idf, threshold)
+    members = found.select("key", "tid").join(met.select("tid", "mass"), "tid")
 
-    edges, done = None, None
-    members = members.select("key", "tid")
     for level in range(1, LEVELS + 1):
         if level > 1:
             members = _finer(members, met, level)
-        while True:
-            state = _state(members, met, edges)
-            hub = state.groupBy("key").agg(F.max(F.struct("mass", "tid")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            hub = hub.filter("lo <> hi").select("key", F.col("h.tid").alias("a"))
-            if level > 1 or edges is not None:  # a hub that was met already gives way to one it didn't reach
-                hub = _next_hubs(state, done)
-            comp_a = state.select("key", F.col("tid").alias("a"), F.col("comp").alias("ca"))
-            pairs = state.join(hub, "key").join(comp_a, ["key", "a"]).filter("tid <> a and comp <> ca").select("a", F.col("tid").alias("b")).distinct()
-            edges, done, new = _verified(pairs, edges, done, nodes, texts, idf, threshold)
-            state = _state(members, met, edges)
-            open_ = state.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-            open_ = staged(state.join(open_.select("key", "n"), "key"), "neardup-open")
-            small = open_.filter(F.col("n") <= SMALL_BUCKET).select("key", F.col("tid").alias("a"), F.col("comp").alias("ca"))
-            other = small.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
-            pairs = small.join(other, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
-            edges, done, _ = _verified(pairs, edges, done, nodes, texts, idf, threshold)
-            members = staged(open_.filter(F.col("n") > SMALL_BUCKET).select("key", "tid"), "neardup-large")
-            if members.isEmpty():
-                return edges
-            if level < LEVELS or not new:
-                break
-    return edges
-
-
-def _state(members: DataFrame, met: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """key, tid, mass, comp of the members of buckets."""
-    out = members.join(met.select("tid", "mass"), "tid")
-    if edges is None:
-        return out.withColumn("comp", F.col("tid"))
-    return out.join(connected_components(edges), "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
-
-
-def _next_hubs(state: DataFrame, done: DataFrame | None) -> DataFrame:
-    """In each bucket of several classes, the class's text of largest mass
-    that wasn't a hub before."""
-    if done is not None:
-        state = state.join(done.select(F.col("a").alias("tid")).distinct(), "tid", "left_anti")
-    best = state.groupBy("key").agg(F.max(F.struct("mass", "tid")).alias("h"))
-    return best.select("key", F.col("h.tid").alias("a"))
+        state = meet.classes(members)
+        hubs = state.groupBy("key").agg(F.max(F.struct("mass", "tid", "comp")).alias("h"))
+        meet.verify(state.join(hubs, "key").filter("comp <> h.comp").select(F.col("h.tid").alias("a"), F.col("tid").alias("b")))
+        state = meet.classes(members)
+        several = state.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        left = staged(state.join(several.select("key", "n"), "key"), "neardup-left")
+        small = left.filter(F.col("n") <= SMALL_BUCKET).select("key", F.col("tid").alias("a"), F.col("comp").alias("ca"))
+        other = small.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
+        meet.verify(small.join(other, "key").filter("a < b and ca <> cb").select("a", "b"))
+        members = left.filter(F.col("n") > SMALL_BUCKET).select("key", "tid", "mass", "n")
+        if members.isEmpty():
+            return meet.edges
+
+    # Once each, in the largest of its buckets; a hub is picked by its hash.
+    hubs_each = SMALL_BUCKET
+    members = staged(members.groupBy("tid").agg(F.max(F.struct("n", "key")).alias("m"), F.max("mass").alias("mass")).select("tid", "mass", "m.key", "m.n"), "neardup-rest")
+    while True:
+        state = meet.classes(members)
+        hubs = state.filter(F.pmod(F.xxhash64("tid", "key"), F.col("n")) < hubs_each).select("key", F.col("tid").alias("a"), F.col("comp").alias("ca"))
+        more = meet.verify(state.join(hubs, "key").filter("comp <> ca").select(F.least("a", "tid").alias("a"), F.greatest("a", "tid").alias("b")))
+        hubs_each *= 2
+        if not exhaustive or not more and members.filter(F.col("n") > hubs_each // 2).isEmpty():
+            return meet.edges
+
+
+class _Meetings:
+    """The pairs that have met, the similar ones among them, and the classes
+    that these make."""
+
+    def __init__(self, met: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float):
+        self.met, self.texts, self.idf, self.threshold = met, texts, idf, threshold
+        self.edges: DataFrame | None = None
+        self.done: DataFrame | None = None
+        self.comps: DataFrame | None = None
+
+    def verify(self, pairs: DataFrame) -> bool:
+        """Lets the pairs (a, b) meet that haven't; whether there were any."""
+        pairs = pairs.distinct()
+        if self.done is not None:
+            pairs = pairs.join(self.done, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "neardup-pairs")
+        if pairs.isEmpty():
+            return False
+        similar = staged(similar_pairs(pairs, self.met, self.texts, self.idf, self.threshold).select("a", "b"), "neardup-similar")
+        self.done = pairs if self.done is None else staged(self.done.unionByName(pairs), "neardup-done")
+        if not similar.isEmpty():
+            self.edges = similar if self.edges is None else staged(self.edges.unionByName(similar), "neardup-similar")
+            self.comps = None
+        return True
+
+    def classes(self, members: DataFrame) -> DataFrame:
+        """key, tid, mass and comp of members of buckets."""
+        if self.edges is None:
+            return members.withColumn("comp", F.col("tid"))
+        if self.comps is None:
+            self.comps = connected_components(self.edges)
+        return members.join(self.comps, "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
 
 
 def _finer(members: DataFrame, met: DataFrame, level: int) -> DataFrame:
     """Members of large buckets by each ``level`` of the bands they have."""
-    from itertools import combinations
-
-    tids = members.select("tid").distinct().join(met.select("tid", "bands"), "tid")
+    tids = members.select("tid", "mass").distinct().join(met.select("tid", "bands"), "tid")
     keys = F.array(*[F.xxhash64(*[F.element_at("bands", b + 1) for b in c], F.lit(str(c))) for c in combinations(range(BANDS), level)])
-    spread = tids.select("tid", F.explode(keys).alias("key"))
+    spread = tids.select("tid", "mass", F.explode(keys).alias("key"))
     often = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return staged(spread.join(often.select("key"), "key").select("key", "tid"), "neardup-members")
-
-
-def _verified(pairs: DataFrame, edges, done, nodes, texts, idf, threshold):
-    """Adds the similar ones of ``pairs`` that weren't met before to edges."""
-    if done is not None:
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    pairs = staged(pairs, "neardup-pairs")
-    if pairs.isEmpty():
-        return edges, done, False
-    found = staged(similar_pairs(pairs, nodes, texts, idf, threshold), "neardup-similar")
-    return (found if edges is None else staged(edges.unionByName(found), "neardup-edges")), (pairs if done is None else done.unionByName(pairs)), True
+    return staged(spread.join(often.select("key"), "key"), "neardup-members")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
