@@ -10,8 +10,8 @@ band with probability 0.998.
 Candidates aren't all pairs of a band's bucket.  Each bucket has a hub, the
 text whose buckets hold most texts, and every member meets the hub.  In a bucket
 of several classes after that, all pairs across classes meet if it is small;
-members of a large one are split by what other bands they share, and the same
-follows there, up to three bands.  What is then left in large buckets are texts
+members of a large one are split by a second band they share, and the same
+follows there.  What is then left in large buckets are texts
 of one origin that have drifted from its centre: each meets 32 of its bucket, or
 with ``exhaustive`` twice as many again and again until all have met, which takes
 quadratic time in the size of such a bucket.  Pairs whose 27 samples agree in
@@ -27,8 +27,6 @@ rows share a class; an empty table gives an empty result.  Other columns are ign
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +40,7 @@ BANDS, ROWS = 9, 3
 SAMPLES = BANDS * ROWS
 IDF_BITS = 18
 SMALL_BUCKET = 32
-LEVELS = 3
+LEVELS = 2
 _BLOCK = 1 << 15
 _TABLE = 1 << 16
 
@@ -280,7 +278,7 @@ def _similar_edges(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold
 
     for level in range(1, LEVELS + 1):
         if level > 1:
-            members = _finer(members, met, level)
+            members = _finer(members, met)
         state = meet.classes(members)
         hubs = state.groupBy("key").agg(F.max(F.struct("mass", "tid", "comp")).alias("h"))
         meet.verify(state.join(hubs, "key").filter("comp <> h.comp").select(F.col("h.tid").alias("a"), F.col("tid").alias("b")))
@@ -340,10 +338,11 @@ class _Meetings:
         return members.join(self.comps, "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
 
 
-def _finer(members: DataFrame, met: DataFrame, level: int) -> DataFrame:
-    """Members of large buckets by each ``level`` of the bands they have."""
+def _finer(members: DataFrame, met: DataFrame) -> DataFrame:
+    """Members of large buckets by pairs of the bands they have, those that
+    lie 1, 2 or 4 apart in the circle of bands."""
     tids = members.select("tid", "mass").distinct().join(met.select("tid", "bands"), "tid")
-    keys = F.array(*[F.xxhash64(*[F.element_at("bands", b + 1) for b in c], F.lit(str(c))) for c in combinations(range(BANDS), level)])
+    keys = F.array(*[F.xxhash64(*[F.element_at("bands", b + 1) for b in c], F.lit(str(c))) for c in ((b, (b + d) % BANDS) for b in range(BANDS) for d in (1, 2, 4))])
     spread = tids.select("tid", "mass", F.explode(keys).alias("key"))
     often = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return staged(spread.join(often.select("key"), "key"), "neardup-members")
