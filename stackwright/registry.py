@@ -20,3 +20,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+from .plans import catalogue, texts  # noqa: E402, F401  each registers its queries
