@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, plain, slices, table
-from .encoding import Encoder, shipped
+from .encoding import SLICE, Encoder, shipped
 
 _RANGE = 1024
 
@@ -30,10 +30,8 @@ def length_histogram(docs: DataFrame, tokenizer_path: str | None = None) -> Data
     def count(batches):
         encoder, seen = Encoder.of(shared), Counter()
         for batch in batches:
-            column = batch.column("text").fill_null("")
-            _, offsets = buffers(column)
-            for i, j, _, _ in slices(offsets, offsets):
-                seen.update(map(len, encoder.encode(column.slice(i, j - i).to_pylist())))
+            for _, _, data, offsets in slices(*buffers(batch.column("text")), most=SLICE):
+                seen.update(encoder.encode_rows(data, offsets)[1].tolist())
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(seen.keys(), pa.int64()), "docs": pa.array(seen.values(), pa.int64())})
 
     return plain(docs, "text").mapInArrow(count, "n_tokens long, docs long").groupBy("n_tokens").agg(F.sum("docs").alias("docs"))

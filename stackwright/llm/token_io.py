@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, plain, slices, stage_path, table
-from .encoding import Encoder, shipped
+from .encoding import SLICE, Encoder, shipped
 
 END_ID = 0
 FILE_SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
@@ -35,14 +35,14 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str | None = Non
 
     def encode(batches):
         encoder, part, at = Encoder.of(shared), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.int32)
         for batch in batches:
-            column = batch.column("text")
-            _, offsets = buffers(column)
-            for i, j, _, _ in slices(offsets, offsets):
-                ids = encoder.encode(column.slice(i, j - i).to_pylist())
-                n = np.array([len(x) + 1 for x in ids], np.int64)
-                flat = np.concatenate([y for x in ids for y in (x, end)]).astype(np.int32)
+            for i, j, data, offsets in slices(*buffers(batch.column("text")), most=SLICE):
+                ids, n = encoder.encode_rows(data, offsets)
+                n = n + 1
+                flat = np.full(int(n.sum()), end_id, np.int32)
+                inner = np.ones(len(flat), bool)
+                inner[np.cumsum(n) - 1] = False
+                flat[inner] = ids
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
                 before = at + np.concatenate([[0], np.cumsum(n)[:-1]])
                 yield pa.RecordBatch.from_arrays(
