@@ -123,6 +123,8 @@ def learn_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[lis
                 for name, v in zip(names, (pick @ counts).astype(np.float64) @ bound(kinds, dimensions).astype(np.float64)):
                     sums[name] = sums.get(name, 0) + v
         for name, v in sums.items():
+            if not v.any():  # labelled, but without letters
+                continue
             yield pa.RecordBatch.from_pydict({"lang": [name] * dimensions, "d": np.arange(dimensions, dtype=np.int32), "v": np.rint(v).astype(np.int64)})
 
     rows = plain(docs, "text", "lang").filter("text is not null and lang is not null")
