@@ -84,10 +84,10 @@ def root_to_leaf_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node")))
     if best is not None:
         ranked = ranked.filter(F.col("rank") <= best)
-    paths = ranked.select("tree", F.col("node").alias("leaf"), "rank", "node")
-    for jump in reversed(jumps):
+    paths = staged(ranked.select("tree", F.col("node").alias("leaf"), "rank", "node"), "chat-leaves")
+    for jump in reversed(jumps):  # each step reads its paths twice, so they are written
         up = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        paths = paths.union(paths.join(up, _same("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", F.col("up").alias("node")))
+        paths = staged(paths.union(paths.join(up, _same("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", F.col("up").alias("node"))), "chat-paths")
     at = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), "depth")
     return paths.join(at, _same("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", "node", "depth")
 
