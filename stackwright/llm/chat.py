@@ -65,11 +65,11 @@ def root_to_leaf_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
             jumps.append(now.select("tree", "node", "up").filter("up is not null"))
             far = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("s2"))
             step_size = 1 << (len(jumps) - 1)
-            now = now.join(far, _same("tree", "t") & (F.col("up") == F.col("n")), "left").select(
-                "tree", "node", F.col("up2").alias("up"),
-                (F.col("depth") + F.when(F.col("up").isNotNull(), F.col("d2") + step_size).otherwise(0)).alias("depth"),
-                (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total"),
+            # Only what still points up is joined.
+            climbed = now.filter("up is not null").join(far, _same("tree", "t") & (F.col("up") == F.col("n"))).select(
+                "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2") + step_size).alias("depth"), (F.col("total") + F.col("s2")).alias("total")
             )
+            now = climbed.unionByName(now.filter("up is null"))
             now = staged(now, "chat-jump")
             left = now.filter("up is not null").count()
         if not left:

@@ -52,9 +52,22 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def _store() -> dict:
+    return sys.modules.setdefault("_stackwright_worker", types.ModuleType("_stackwright_worker")).__dict__
+
+
+def working_on(operator: str) -> None:
+    """A Python worker serves one operator after another: what it keeps for
+    the last one goes."""
+    store = _store()
+    if store.get("operator") != operator:
+        store.clear()
+        store["operator"] = operator
+
+
 def kept_in_worker(key: str, make):
     """A value made once in each Python worker process."""
-    store = sys.modules.setdefault("_stackwright_worker", types.ModuleType("_stackwright_worker")).__dict__
+    store = _store()
     if key not in store:
         store[key] = make()
     return store[key]

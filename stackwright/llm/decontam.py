@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from .common import ALNUM_BYTES, buffers, plain, row_of, slices, span_hash, staged, table, word_spans
+from .common import ALNUM_BYTES, buffers, plain, row_of, slices, span_hash, staged, table, word_spans, working_on
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -171,6 +171,7 @@ def _pass(docs: DataFrame, test, window: int, least: int) -> DataFrame:
     """Adds one block's hits to ``docs`` (doc_id, text, spans, items, matches)."""
 
     def run(batches):
+        working_on("decontam")
         suite = TestSet.read(test)
         held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0

@@ -27,7 +27,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that are encoded together.
 SLICE = 1 << 21
 #: Chunks and pieces that a worker remembers, about 30 bytes and 150 bytes each.
-CHUNKS, PIECES = 2_500_000, 500_000
+CHUNKS, PIECES = 1_500_000, 300_000
 #: How byte-level BPE files split a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

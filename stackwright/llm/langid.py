@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, fold_of, kept_in_worker, mix64, plain, slices, table
+from .common import buffers, fold_of, kept_in_worker, mix64, plain, slices, table, working_on
 
 DIMENSIONS = 1024
 CLASSES = 256
@@ -111,6 +111,7 @@ def learn_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[lis
     """The languages of ``docs`` (text, lang) and their bundled vectors."""
 
     def bundle(batches):
+        working_on("langid")
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
@@ -148,6 +149,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, keep: lis
     out_schema = type(schema)(list(schema.fields)).add("lang_pred", "string").add("score", "double")
 
     def label(batches):
+        working_on("langid")
         for batch in batches:
             said, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             for i, j, data, offsets in _blocks(*buffers(batch.column("__text"))) if names else ():

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, buffers, mix64, plain, row_of, slices, span_hash, staged, table, windows, word_spans
+from .common import WORD_BYTES, buffers, mix64, plain, row_of, slices, span_hash, staged, table, windows, word_spans, working_on
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -78,6 +78,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """How many texts hold a shingle of each hash bucket, and how many hold any."""
 
     def run(batches):
+        working_on("neardup")
         seen = np.zeros((1 << IDF_BITS) + 1, np.int64)
         for batch in batches:
             for _, _, data, offsets in _slices(batch.column("text")):
@@ -157,6 +158,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     rows = plain(docs, "doc_id", "text").select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("tid"), "text")
 
     def run(batches):
+        working_on("neardup")
         idf_, draws = shared.value, _draws()
         for batch in batches:
             for i, j, data, offsets in _slices(batch.column("text")):
@@ -210,6 +212,7 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.
     near = near.join(texts.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches):
+        working_on("neardup")
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)

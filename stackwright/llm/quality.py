@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LINE_BYTES, WORD_BYTES, buffers, mix64, plain, row_of, slices, span_hash, staged, table, windows, word_spans
+from .common import LINE_BYTES, WORD_BYTES, buffers, mix64, plain, row_of, slices, span_hash, staged, table, windows, word_spans, working_on
 
 #: At most so many labelled rows, in hash order, fit the rules.
 LABELLED_ROWS = 100_000
@@ -97,6 +97,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         schema = schema.add(c, "long")
 
     def measure(batches):
+        working_on("quality")
         for batch in batches:
             for i, j, data, offsets in slices(*buffers(batch.column("text"))):
                 s = _stats(data, offsets)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, plain, slices, table
+from .common import buffers, plain, slices, table, working_on
 from .encoding import SLICE, Encoder, shipped
 
 _RANGE = 1024
@@ -28,6 +28,7 @@ def length_histogram(docs: DataFrame, tokenizer_path: str | None = None) -> Data
     shared = shipped(docs.sparkSession, tokenizer_path)
 
     def count(batches):
+        working_on("encoding")
         encoder, seen = Encoder.of(shared), Counter()
         for batch in batches:
             for _, _, data, offsets in slices(*buffers(batch.column("text")), most=SLICE):

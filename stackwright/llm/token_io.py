@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, plain, slices, stage_path, table
+from .common import buffers, plain, slices, stage_path, table, working_on
 from .encoding import SLICE, Encoder, shipped
 
 END_ID = 0
@@ -34,6 +34,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str | None = Non
     shared = shipped(docs.sparkSession, tokenizer_path)
 
     def encode(batches):
+        working_on("encoding")
         encoder, part, at = Encoder.of(shared), TaskContext.get().partitionId(), 0
         for batch in batches:
             for i, j, data, offsets in slices(*buffers(batch.column("text")), most=SLICE):
