@@ -3,6 +3,8 @@ as flat byte arrays, and vectorised word splitting and hashing."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import types
@@ -63,6 +65,15 @@ def working_on(operator: str) -> None:
     if store.get("operator") != operator:
         store.clear()
         store["operator"] = operator
+    tidy()
+
+
+def tidy() -> None:
+    """Gives memory that is free back to the machine, which a worker's two
+    allocators would hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def kept_in_worker(key: str, make):
