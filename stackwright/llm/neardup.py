@@ -347,7 +347,7 @@ def _finer(members: DataFrame, met: DataFrame) -> DataFrame:
     lie 1, 2 or 4 apart in the circle of bands."""
     tids = members.select("tid", "mass").distinct().join(met.select("tid", "bands"), "tid")
     keys = F.array(*[F.xxhash64(*[F.element_at("bands", b + 1) for b in c], F.lit(str(c))) for c in ((b, (b + d) % BANDS) for b in range(BANDS) for d in (1, 2, 4))])
-    spread = tids.select("tid", "mass", F.explode(keys).alias("key"))
+    spread = staged(tids.select("tid", "mass", F.explode(keys).alias("key")), "neardup-finer")
     often = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return staged(spread.join(often.select("key"), "key"), "neardup-members")
 
