@@ -55,7 +55,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str | None = Non
     rows = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     key = [F.col("doc_id"), F.xxhash64("text")]  # rows of one id may be dealt to several files
     rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
-    options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(index_stride)}
+    options = {"compression": "lz4", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(index_stride)}
     rows.mapInArrow(encode, FILE_SCHEMA).write.options(**options).orc(path)
 
 
