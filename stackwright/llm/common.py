@@ -174,7 +174,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(SLICE_BYTES + 1, 1 << int(n).bit_length())
+    size = SLICE_BYTES + 1 if n <= SLICE_BYTES + 1 else 1 << int(n).bit_length()
     return kept_in_worker(f"powers-{size}", lambda: (_powers(_P, size), _powers(_P_INV, size)))
 
 
