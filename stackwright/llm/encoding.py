@@ -26,8 +26,11 @@ from .common import kept_in_worker, span_hash
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that are encoded together.
 SLICE = 1 << 21
-#: Chunks and pieces that a worker remembers, about 30 bytes and 150 bytes each.
+#: Chunks and pieces that a worker remembers, about 25 bytes and 150 bytes each.
+#: What it has forgotten it encodes again, so they trade memory for time only.
 CHUNKS, PIECES = 2_500_000, 500_000
+#: Ids of chunks that a worker remembers (2 or 4 bytes each).
+IDS = 1 << 24
 #: How byte-level BPE files split a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -46,7 +49,8 @@ def shipped(spark: SparkSession, path: str | None = None):
 
 
 class Encoder:
-    def __init__(self, text: str):
+    def __init__(self, text: str, chunks: int = CHUNKS, pieces: int = PIECES):
+        self.most_chunks, self.most_pieces = chunks, pieces
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # an executor has its own cores busy
         from tokenizers import Tokenizer
 
@@ -65,12 +69,12 @@ class Encoder:
 
     def _forget(self) -> None:
         # Sorted hashes, and for each its ids' place and number (-1: not by chunks).
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, self.width)
 
     @classmethod
-    def of(cls, shared) -> Encoder:
-        return kept_in_worker(f"encoder-{hash(shared.value)}", lambda: cls(shared.value))
+    def of(cls, shared, chunks: int = CHUNKS, pieces: int = PIECES) -> Encoder:
+        return kept_in_worker(f"encoder-{hash(shared.value)}-{chunks}-{pieces}", lambda: cls(shared.value, chunks, pieces))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         kind = {2: "H", 4: "I"}[self.width.itemsize]
@@ -83,7 +87,7 @@ class Encoder:
 
         pattern = kept_in_worker("bpe-pattern", lambda: regex.compile(PATTERN))
         parts = [pattern.findall(x) for x in texts]
-        if len(self.pieces) > PIECES:
+        if len(self.pieces) > self.most_pieces:
             self.pieces.clear()
         known = self.pieces
         new = [x for x in set(chain.from_iterable(parts)) if x not in known]
@@ -95,7 +99,7 @@ class Encoder:
         n[odd] = -1
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), self.width)])
         place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.n = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.n, place, n)
+        self.keys, self.at, self.n = np.insert(self.keys, place, keys), np.insert(self.at, place, at.astype(np.int32)), np.insert(self.n, place, n.astype(np.int32))
 
     def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of rows of UTF-8 bytes, one after the other, and each row's
@@ -111,7 +115,7 @@ class Encoder:
         first = np.searchsorted(starts, offsets)
         h = span_hash(data, starts, ends)
         kinds, sample, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(kinds) > CHUNKS:
+        if len(self.keys) + len(kinds) > self.most_chunks or len(self.ids) + len(data) > IDS:
             self._forget()
         near = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[near] != kinds) if len(self.keys) else np.arange(len(kinds))
@@ -122,7 +126,7 @@ class Encoder:
             self._learn(kinds[new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(a.tolist(), z.tolist())], np.where(z - a > 1, data[np.minimum(a + 1, len(data) - 1)], 0))
             gc.enable()
             near = np.searchsorted(self.keys, kinds)
-        n, at = self.n[near][inverse].astype(np.int64), self.at[near][inverse]
+        n, at = self.n[near][inverse].astype(np.int64), self.at[near][inverse].astype(np.int64)
         odd = np.unique(np.searchsorted(first, np.flatnonzero(n < 0), "right") - 1) if (n < 0).any() else ()
         n = np.maximum(n, 0)
         done = np.concatenate([[0], np.cumsum(n)])

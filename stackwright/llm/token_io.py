@@ -23,19 +23,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, plain, slices, stage_path, table, tidy, working_on
-from .encoding import SLICE, Encoder, shipped
+from .encoding import CHUNKS, PIECES, SLICE, Encoder, shipped
 
 END_ID = 0
 FILE_SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = END_ID, stripe_bytes: int = 64 << 20, index_stride: int = 1000) -> None:
-    """Writes the ids of ``docs`` (doc_id, text) as ORC files under ``path``."""
+def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = END_ID, stripe_bytes: int = 64 << 20, index_stride: int = 1000, chunks: int = CHUNKS, pieces: int = PIECES) -> None:
+    """Writes the ids of ``docs`` (doc_id, text) as ORC files under ``path``.
+    Workers remember as many ``chunks`` and ``pieces``: fewer take less memory and
+    more time, and give the same ids."""
     shared = shipped(docs.sparkSession, tokenizer_path)
 
     def encode(batches):
         working_on("encoding")
-        encoder, part, at = Encoder.of(shared), TaskContext.get().partitionId(), 0
+        encoder, part, at = Encoder.of(shared, chunks, pieces), TaskContext.get().partitionId(), 0
         for batch in batches:
             for i, j, data, offsets in slices(*buffers(batch.column("text")), most=SLICE):
                 ids, n = encoder.encode_rows(data, offsets)
