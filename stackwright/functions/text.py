@@ -51,10 +51,17 @@ def author_words(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: F.char_length(w) >= 3)))
 
 
+def punctuation_key(c: Column) -> Column:
+    return squeeze(F.regexp_replace(fold(F.trim(c)), "[:.;,!?«»\"'—–-]+", " "))
+
+
 def group_key(c: Column) -> Column:
-    r"""Punctuation as spaces; ``Root 3\Sub`` as ``root|sub``."""
-    c = _chain(fold(c), [(r"\s*\d*\s*\\\s*", "|"), (r"(?U)[^\w|]+", " ")])
-    return squeeze(c)
+    r"""Punctuation as spaces; ``Root 3\Sub`` as ``root|sub``, but ``Root\Sub``
+    stays as it is."""
+    root, sub = F.trim(F.substring_index(c, "\\", 1)), F.trim(F.regexp_replace(c, r"^[^\\]*\\", ""))
+    bare = F.trim(F.regexp_replace(root, r"\s+\d{1,4}\s*$", ""))
+    joined = F.concat_ws("|", punctuation_key(bare), F.nullif(punctuation_key(sub), F.lit("")))
+    return F.when(c.contains("\\") & (bare != root), joined).otherwise(punctuation_key(c))
 
 
 def compare_key(c: Column) -> Column:
@@ -190,6 +197,40 @@ def display_series(c: Column) -> Column:
     return F.replace(c, F.lit("\\"), F.lit(". "))
 
 
+# --- bodies of books --------------------------------------------------------------------
+
+_PREFACE = r"(?iuU)предисловие|вступлени[ея]|от\s+автор|от\s+переводчик|foreword|preface|introduction|аннотаци[яи]|copyright|копирайт|все\s+права"
+_BOILERPLATE = r"(?iuU)https?://\S+|©[^©\n]{1,120}|выпуск\s+произведения[^©\n]*|isbn[\s:]*[\d\-–—Xx]{5,}"
+
+
+def opening_text(xml: Column, most: int = 2000) -> Column:
+    """The first characters of a book's body as plain text, from the first
+    section that isn't a preface, without links and notices."""
+    body = F.regexp_replace(xml, r"(?is)^.*?<(?:fb:)?body(?!\s[^>]*\bname\s*=)[^>]*>", "")
+    sections = F.split(body, r"(?i)(?=<(?:fb:)?section[^>]*>)")
+    title = lambda s: F.regexp_replace(F.regexp_extract(F.substring(s, 1, 420), r"(?is)<(?:fb:)?title[^>]*>(.*?)</(?:fb:)?title>", 1), "<[^>]+>", "")
+    said = F.transform(sections, lambda s, i: F.when(s.rlike(r"(?i)^<(?:fb:)?section") & ~title(s).rlike(_PREFACE), i))
+    first = F.coalesce(F.array_min(said), F.lit(0))
+    text = F.array_join(F.slice(sections, first + 1, F.size(sections)), "")
+    return F.substring(squeeze(_chain(text, [("<[^>]+>", " "), (_BOILERPLATE, " ")])), 1, most)
+
+
+def book_bodies(xml: Column) -> Column:
+    return F.regexp_extract_all(xml, F.lit(r"(?is)<(?:fb:)?body\b[^>]*>(.*?)</(?:fb:)?body>"), F.lit(1))
+
+
+def book_images(xml: Column) -> Column:
+    """The binaries of a book, whole, each once."""
+    return F.array_distinct(F.regexp_extract_all(xml, F.lit(r"(?is)<(?:fb:)?binary\b[^>]*>.*?</(?:fb:)?binary>"), F.lit(0)))
+
+
+def title_without_series(title: Column, series: Column) -> Column:
+    """For finding doubles: a title without its series in front."""
+    t, s = fold(F.trim(nfkc(title))), fold(F.trim(nfkc(series)))
+    after = lambda sep: t.startswith(F.concat(s, F.lit(sep)))
+    return F.when(after(". "), F.substr(t, F.char_length(s) + 3)).when(after(" "), F.substr(t, F.char_length(s) + 2)).otherwise(t)
+
+
 # --- what has no native form ------------------------------------------------------------
 
 

@@ -25,3 +25,39 @@ SERIES_CLEANUP_PATTERNS = [
 ]
 SERIES_SIZES = ["", "Дилогия", "Трилогия", "Тетралогия", "Пенталогия", "Гексалогия", "Гепталогия", "Окталогия", "Ноналогия", "Декалогия"]
 UNKNOWN_AUTHOR, NO_TITLE, ANTHOLOGY, COAUTHORS = "[unknown]", "[no title]", "Сборник", "Соавторство"
+FILENAME_BLACKLIST = [
+    "компиляция", "+", "Артефакт - детектив", "МИФ Проза", "Азбука-бестселлер", "Книга-загадка, книга-бестселлер", "Книга-загадка", "The Big Book",
+    "О. Р. З. или Сказ о том, как Михалыч пить бросал", "Loft. Автофикшн", "Loft", "Tok", "Звезда соцсети", "Fantasy World", "Fanzon", "Neoclassic", "downloads", "collection",
+    "издат", "космическая фантастика", "скачанные", "обложка", "компиляции", "изд", "антология", "загрузки", "temp", "various", "коллекция", "авторский", "лучшее", "разные",
+    "серия", "tmp", "download", "(АСТ)", "военная фантастика", "боевая фантастика", "фантастика", "romance", "любовный", "детектив", "mystery", "БФ", "попаданец",
+    "фантастический боевик", "современный фантастический боевик", "библиотека победы", "Сборник сочинений", "собрание сочинений", "сборник", "шедевры фантастики", "ЛенИздат",
+    "библиотека", "СИ", "Эксмо", "Короли французского триллера", "1918 год", "Acting president", "Центрполиграф", "О. Р. З.", "Ка",
+]
+VARIANT_KEYWORDS = [
+    "вариант", "альтернативный", "альтернативная", "альтернативное", "версия", "ЛП", "СИ", "самиздат", "черновик", "черновая", "редакция", "alt", "alternate", "alternative", "draft",
+    "fan translation", "фанперевод",
+]
+EXTENSION_FOLDERS = ["fb2", "rtf", "pdf", "doc", "docx", "txt", "epub", "djvu", "djv", "mobi", "azw", "azw3", "lit", "lrf", "html", "htm", "odt", "zip", "rar", "7z"]
+#: Words for a compilation, and of how many volumes; the first one found counts.
+COMPILATION_WORDS = {
+    "дилогия": 2, "трилогия": 3, "тетралогия": 4, "пенталогия": 5, "гексалогия": 6, "гепталогия": 7, "окталогия": 8, "ноналогия": 9, "декалогия": 10,
+    "дилог": 2, "трилог": 3, "тетралог": 4, "пенталог": 5, "гексалог": 6, "гепталог": 7, "omnibus": None, "omnib": None, "trilogy": 3, "tetralogy": 4, "сборник": None,
+}
+TITLE_WORDS = {
+    "битва", "война", "король", "королевство", "императорь", "империя", "мир", "мира", "небесный", "звезда", "звезд", "звёзд", "звёзда", "край", "земля", "земли", "ночь", "день",
+    "огонь", "вода", "молния", "гром", "шторм", "ураган", "зима", "лето", "весна", "осень", "город", "замок", "дворец", "храм", "церковь", "святилище", "квест", "поиск", "охота",
+    "охотник", "путешествие", "путь", "магия", "магический", "чарованный", "чародей", "волшебник", "герой", "герои", "боец", "боцена", "воїн",
+}
+BLOCK_QUALIFIERS = {"весь", "вся", "все", "полный", "полная", "полное", "целый", "целая", "целое", "complete", "omnibus"}
+FILE_PATTERNS = [
+    "Title (Author)", "Title - (Author)", "Title - Title (Author)", "Author - Title", "(Author) - Title", "Title - Author", "Author - Title (Series)",
+    "Author - Title (Series) Text", "Author - Title (Series. service_words)", "Author - Series. Title (Series service_words)",
+    "Author - service_words. Series. Title (Series service_words)", "Author - Title (Series. service_words) text", "Author - Title (Series. service_words) - text",
+    "Author - Title (Series) (text)", "Author - Title (Series. SubSeries. SubSubSeries)", "Author, Author - Title (Series)", "Author, Author - Title (Series. service_words)",
+    "Author. Title", "Author. Title (Series. service_words)", "Author. Title (Series. Title. service_words)", "Author. service_words «Series»",
+    "Author. service_words «Series». Text", "Author. service_words «Series» text. Title", "Author, Author. Title (Series)", "Author, Author. Title (Series service_words)",
+    "Author, Author. Title (Series. Title. service_words)", "Author. Series (service_words)", "Author. Series. service_words", "Author. Series. Title",
+    "Author. Series. SubSeries. service_words. Title", "Author. Series. SubSeries. Title", "Author - Series. Title", "Author - Series (service_words)",
+    "Author - Series. SubSeries (service_words)", "Author - Series. SubSeries. Title", "Author - Series. SubSeries. service_words. Title",
+    "Author, Author - Series service_words. SubSeries.  Title",
+]
