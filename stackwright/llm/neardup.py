@@ -7,14 +7,15 @@ inverse document frequency between 1/2 and 1, taken over all documents in
 samples make 9 bands of 3; two texts of weighted Jaccard similarity 0.8 share a
 band with probability 0.998.
 
-Candidates aren't all pairs of a band's bucket.  Each bucket has a hub, the
-text whose buckets hold most texts, and every member meets the hub.  In a bucket
-of several classes after that, all pairs across classes meet if it is small;
-members of a large one are split by a second band they share, and the same
-follows there.  What is then left in large buckets are texts
-of one origin that have drifted from its centre: each meets 32 of its bucket, or
-with ``exhaustive`` twice as many again and again until all have met, which takes
-quadratic time in the size of such a bucket.  Pairs whose 27 samples agree in
+Candidates are all pairs of a band's bucket whose texts aren't in one class
+already.  To have few such pairs, each bucket has a hub, the text whose buckets
+hold most texts, and every member meets the hub first.  In a bucket of several
+classes after that, all pairs across classes meet if it is small; members of a
+large one are split by a second band they share, any of the other eight, and
+the same follows there.  Large buckets that then still hold several classes are
+searched whole: blocks of their members meet block by block, comparing the 27
+samples, and the pairs that agree meet, those that agree best first.  That takes
+time that grows with the square of such a bucket.  Pairs whose 27 samples agree in
 under half are dropped (3.9 standard deviations below 0.8); the others are
 verified by weighted Jaccard similarity of the whole texts.  Classes are the
 connected components of the verified pairs; equal texts are in one class
@@ -27,6 +28,8 @@ rows share a class; an empty table gives an empty result.  Other columns are ign
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +44,8 @@ SAMPLES = BANDS * ROWS
 IDF_BITS = 18
 SMALL_BUCKET = 32
 LEVELS = 2
+MEETING = 512
+AGREE = (22, 18, 0)
 _BLOCK = 1 << 15
 _TABLE = 1 << 16
 
@@ -246,7 +251,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 # --- classes ----------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, exhaustive: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), n_class (rows in
     it) for every row of ``docs`` (doc_id, text)."""
     docs = plain(docs, "doc_id", "text")
@@ -255,7 +260,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, exhaustive: b
     rows = sketches(docs, idf)
     nodes = rows.filter("tid is not null").groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
     nodes = staged(nodes, "neardup-nodes")
-    edges = _similar_edges(docs, nodes, idf, threshold, exhaustive)
+    edges = _similar_edges(docs, nodes, idf, threshold)
     if edges is None:
         comps = nodes.select("tid", F.col("tid").alias("comp"))
     else:
@@ -268,7 +273,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, exhaustive: b
     return known.unionByName(alone)
 
 
-def _similar_edges(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float, exhaustive: bool) -> DataFrame | None:
+def _similar_edges(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame | None:
     """The verified pairs (a, b) between different texts, staged."""
     spread = nodes.filter("bands is not null").select("tid", F.explode("bands").alias("key"))
     often = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -292,20 +297,45 @@ def _similar_edges(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold
         small = left.filter(F.col("n") <= SMALL_BUCKET).select("key", F.col("tid").alias("a"), F.col("comp").alias("ca"))
         other = small.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
         meet.verify(small.join(other, "key").filter("a < b and ca <> cb").select("a", "b"))
-        members = left.filter(F.col("n") > SMALL_BUCKET).select("key", "tid", "mass", "n")
-        if members.isEmpty():
-            return meet.edges
-
-    # Once each, in the largest of its buckets; a hub is picked by its hash.
-    hubs_each = SMALL_BUCKET
-    members = staged(members.groupBy("tid").agg(F.max(F.struct("n", "key")).alias("m"), F.max("mass").alias("mass")).select("tid", "mass", "m.key", "m.n"), "neardup-rest")
-    while True:
-        state = meet.classes(members)
-        hubs = state.filter(F.pmod(F.xxhash64("tid", "key"), F.col("n")) < hubs_each).select("key", F.col("tid").alias("a"), F.col("comp").alias("ca"))
-        more = meet.verify(state.join(hubs, "key").filter("comp <> ca").select(F.least("a", "tid").alias("a"), F.greatest("a", "tid").alias("b")))
-        hubs_each *= 2
-        if not exhaustive or not more and members.filter(F.col("n") > hubs_each // 2).isEmpty():
-            return meet.edges
+        members = left.filter(F.col("n") > SMALL_BUCKET).select("key", "tid", "mass")
+        if level == 1:
+            large = members
+            if large.isEmpty():
+                return meet.edges
+    _search_whole(large, met, meet)
+    return meet.edges
+
+
+def _search_whole(large: DataFrame, met: DataFrame, meet: _Meetings) -> None:
+    """Lets all pairs across classes meet in buckets (key, tid, mass) of any
+    size, those whose samples agree best first."""
+    state = meet.classes(large)
+    several = state.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    parts = several.select("key", F.ceil(F.col("n") / MEETING).cast("int").alias("parts"))
+    dealt = state.join(parts, "key").select("key", "tid", "comp", "parts", F.pmod(F.xxhash64("tid"), "parts").cast("int").alias("mine"))
+    dealt = dealt.join(met.select("tid", "bands", "sig"), "tid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "tid", "comp", "bands", "sig")
+
+    def compare(group: pa.Table) -> pa.Table:
+        key, x, y = (group.column(c)[0].as_py() for c in ("key", "x", "y"))
+        tid, comp, mine = (group.column(c).to_numpy() for c in ("tid", "comp", "mine"))
+        bands, sig = (group.column(c).combine_chunks().flatten().to_numpy().reshape(len(tid), -1) for c in ("bands", "sig"))
+        left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+        agree = np.zeros((len(left), len(right)), np.int8)
+        for k in range(SAMPLES):
+            agree += sig[left, k][:, None] == sig[right, k]
+        i, j = np.nonzero((2 * agree >= SAMPLES) & (comp[left][:, None] != comp[right]))
+        n, i, j = agree[i, j], left[i], right[j]
+        same = bands[i] == bands[j]
+        ok = bands[i, same.argmax(axis=1)] == key  # a pair meets in the first bucket it shares
+        if x == y:
+            ok &= tid[i] < tid[j]
+        a, b = tid[i[ok]], tid[j[ok]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "agree": n[ok].astype(np.int32)})
+
+    close = staged(dealt.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long, agree int"), "neardup-close")
+    for least in AGREE:
+        meet.verify(meet.apart(close.filter(F.col("agree") >= least)))
 
 
 class _Meetings:
@@ -333,8 +363,15 @@ class _Meetings:
             self.comps = None
         return True
 
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) across classes."""
+        if self.edges is None:
+            return pairs.select("a", "b")
+        ends = [self.classes(pairs.select(F.col(c).alias("tid")).distinct()).select(F.col("tid").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab"]
+        return pairs.join(ends[0], "a").join(ends[1], "b").filter("ca <> cb").select("a", "b")
+
     def classes(self, members: DataFrame) -> DataFrame:
-        """key, tid, mass and comp of members of buckets."""
+        """The members (tid) with comp."""
         if self.edges is None:
             return members.withColumn("comp", F.col("tid"))
         if self.comps is None:
@@ -343,10 +380,9 @@ class _Meetings:
 
 
 def _finer(members: DataFrame, met: DataFrame) -> DataFrame:
-    """Members of large buckets by pairs of the bands they have, those that
-    lie 1, 2 or 4 apart in the circle of bands."""
+    """Members of large buckets by all pairs of the bands they have."""
     tids = members.select("tid", "mass").distinct().join(met.select("tid", "bands"), "tid")
-    keys = F.array(*[F.xxhash64(*[F.element_at("bands", b + 1) for b in c], F.lit(str(c))) for c in ((b, (b + d) % BANDS) for b in range(BANDS) for d in (1, 2, 4))])
+    keys = F.array(*[F.xxhash64(*[F.element_at("bands", b + 1) for b in c], F.lit(str(c))) for c in itertools.combinations(range(BANDS), 2)])
     spread = staged(tids.select("tid", "mass", F.explode(keys).alias("key")), "neardup-finer")
     often = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return staged(spread.join(often.select("key"), "key"), "neardup-members")

@@ -222,6 +222,45 @@ def test_near_duplicates_by_brute_force(spark, docs, real, nothing):
     assert kept.columns == docs.columns and kept.filter("doc_id in (1, 5)").count() == 1
 
 
+def band_classes(df, least=0.8):
+    """Classes of distinct texts by all similar pairs that share a band."""
+    idf = neardup.damped_idf(*neardup.document_frequencies(df))
+    rows = sorted(neardup.sketches(df, idf).collect(), key=lambda r: r.doc_id)
+    text = {r.doc_id: r.text for r in df.collect()}
+    bands, sig = np.array([r.bands for r in rows]), np.array([r.sig for r in rows])
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (bands[i] == bands[j]).any() and 2 * (sig[i] == sig[j]).sum() >= neardup.SAMPLES]
+    s = [x for k in range(0, len(pairs), 1000) for x in neardup.weighted_jaccard([text[rows[i].doc_id] for i, _ in pairs[k : k + 1000]], [text[rows[j].doc_id] for _, j in pairs[k : k + 1000]], idf)]
+    group = list(range(len(rows)))
+    for (i, j), x in zip(pairs, s):
+        if x >= least and group[i] != group[j]:
+            old, new = group[j], group[i]
+            group = [new if g == old else g for g in group]
+    first = {}
+    for r, g in zip(rows, group):
+        first.setdefault(g, r.doc_id)
+    return {r.doc_id: first[g] for r, g in zip(rows, group)}, max(Counter(bands.ravel().tolist()).values())
+
+
+def drifted(n, changes, seed):
+    """Texts of one origin, each with some words of its own."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(150)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for k in rng.choice(len(base), rng.integers(*changes), replace=False):
+            words[k] = f"new{i}x{k}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_large_buckets_are_searched_whole(spark):
+    made = spark.createDataFrame(drifted(600, (2, 5), 3), "doc_id long, text string").repartition(3)
+    want, largest = band_classes(made)
+    assert largest > 5 * neardup.SMALL_BUCKET and len(set(want.values())) > 10
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(made).collect()} == want
+
+
 def test_samples_estimate_similarity():
     idf = np.full(1 << neardup.IDF_BITS, 1.0, np.float32)
     words = [f"w{i}" for i in range(400)]
