@@ -261,6 +261,34 @@ def test_large_buckets_are_searched_whole(spark):
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(made).collect()} == want
 
 
+def test_large_buckets_keep_every_membership(spark, monkeypatch):
+    # Texts of two large buckets each: any two of a bucket whose samples agree meet, once.
+    monkeypatch.setattr(neardup, "MEETING", 16)
+    rng = np.random.default_rng(8)
+    rows = []
+    for t in range(120):
+        bands = [1000 * b + int(rng.integers(3)) if b < 2 else 10**6 + 100 * t + b for b in range(neardup.BANDS)]
+        rows.append((t, 1, bands, [int(x) for x in rng.integers(0, 2, neardup.SAMPLES)]))
+    met = spark.createDataFrame(rows, "tid long, mass long, bands array<long>, sig array<int>")
+    large = met.select("tid", "mass", F.explode("bands").alias("key")).filter("key < 1000000")
+    seen = []
+
+    class Meet:
+        def classes(self, members):
+            return members.withColumn("comp", F.col("tid") % 40)
+
+        def apart(self, pairs):
+            return pairs.select("a", "b")
+
+        def verify(self, pairs):
+            seen.append(sorted(map(tuple, pairs.collect())))
+
+    neardup._search_whole(large, met, Meet())
+    agree = lambda x, y: sum(a == b for a, b in zip(x[3], y[3]))
+    want = sorted((x[0], y[0]) for x, y in itertools.combinations(rows, 2) if x[0] % 40 != y[0] % 40 and set(x[2]) & set(y[2]) and 2 * agree(x, y) >= neardup.SAMPLES)
+    assert seen[-1] == want and len(want) > 500
+
+
 def test_samples_estimate_similarity():
     idf = np.full(1 << neardup.IDF_BITS, 1.0, np.float32)
     words = [f"w{i}" for i in range(400)]
