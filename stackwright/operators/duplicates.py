@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 HASHED_BYTES = 262_144
 
 
-def by_content(df: DataFrame, path: str, content: Column) -> DataFrame:
-    """dup_path, source: rows whose first bytes are those of an earlier path.
-    Hashes are summed map-side; only groups of two or more are joined back."""
-    h = df.select(F.col(path).alias("p"), F.sha2(F.substring(content.cast("binary"), 1, HASHED_BYTES), 256).alias("h"))
+def by_content(df: DataFrame, path: str, content: Column, first_bytes: int | None = None) -> DataFrame:
+    """dup_path, source: rows whose content is that of an earlier path; with
+    ``first_bytes`` (``HASHED_BYTES`` for files) only so much of it counts.  Hashes are summed map-side; only groups of two or more are joined back."""
+    data = content.cast("binary")
+    h = df.select(F.col(path).alias("p"), F.sha2(data if first_bytes is None else F.substring(data, 1, first_bytes), 256).alias("h"))
     groups = h.groupBy("h").agg(F.min("p").alias("source"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return h.join(groups, "h").filter("p <> source").select(F.col("p").alias("dup_path"), "source")
 

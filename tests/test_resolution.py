@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stackwright.functions import predicates as P
 from stackwright.functions import text as T
-from stackwright.operators import compilations, genres, names, patterns
+from stackwright.operators import compilations, duplicates, genres, names, patterns
 
 
 def values(spark, f, *texts):
@@ -94,3 +94,15 @@ def test_genre_tree(spark, tmp_path):
     assert genres.read_tree((tmp_path / "g.xml").read_text(encoding="utf-8")) == nodes
     tree = genres.associate(genres.tree_table(spark, nodes), "x", "B")
     assert {tuple(r) for r in genres.walk(tree).collect()} == {("A", 0, "A", "A"), ("B", 1, "A/B", "A")}
+
+
+def test_duplicates_by_whole_content(spark, tmp_path):
+    from stackwright.registry import QUERIES
+
+    opening = "é" * 200_000  # more than 256 KiB
+    rows = [(1, opening + "a"), (2, opening + "b"), (3, opening + "a"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in QUERIES["dup_by_hash"](spark, str(tmp_path)).collect()] == [(3, 1)]
+    first = duplicates.by_content(df.filter("text is not null"), "doc_id", F.col("text"), duplicates.HASHED_BYTES)
+    assert sorted(map(tuple, first.collect())) == [(2, 1), (3, 1)]
