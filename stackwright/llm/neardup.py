@@ -254,6 +254,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), n_class (rows in
     it) for every row of ``docs`` (doc_id, text)."""
+    return _classed(docs, threshold).select("doc_id", "class_id", "n_class")
+
+
+def _classed(docs: DataFrame, threshold: float) -> DataFrame:
+    """The rows with class_id and n_class, tid, and keep_tid: of the texts that
+    have class_id for doc_id, the class's first."""
     docs = plain(docs, "doc_id", "text")
     frequency, documents = document_frequencies(docs)
     idf = damped_idf(frequency, documents)
@@ -266,10 +272,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     else:
         comps = nodes.select("tid").join(connected_components(edges), "tid", "left").select("tid", F.coalesce("comp", "tid").alias("comp"))
     per = rows.filter("tid is not null").groupBy("tid").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")).join(comps, "tid")
-    classes = per.groupBy("comp").agg(F.min("id").alias("class_id"), F.sum("n").alias("n_class"))
-    of_text = staged(per.select("tid", "comp").join(classes, "comp").select("tid", "class_id", "n_class"), "neardup-classes")
-    known = rows.select("doc_id", "tid").filter("tid is not null").join(of_text, "tid").select("doc_id", "class_id", "n_class")
-    alone = rows.filter("tid is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"))
+    classes = per.groupBy("comp").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "tid")).alias("first"), F.sum("n").alias("n_class"))
+    classes = classes.select("comp", F.col("first.id").alias("class_id"), "n_class", F.col("first.tid").alias("keep_tid"))
+    of_text = staged(per.select("tid", "comp").join(classes, "comp").select("tid", "class_id", "n_class", "keep_tid"), "neardup-classes")
+    known = rows.select("doc_id", "tid").filter("tid is not null").join(of_text, "tid").select("doc_id", "class_id", "n_class", "tid", "keep_tid")
+    alone = rows.filter("tid is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"), "tid", F.col("tid").alias("keep_tid"))
     return known.unionByName(alone)
 
 
@@ -394,12 +401,14 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` (all columns) with one document of each class: that of the
-    smallest doc_id, once if its row repeats."""
-    classes = staged(near_duplicates(docs, threshold), "neardup-result")
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("times"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    out = docs.join(kept.select("kept_id"), same, "left_semi")
-    again = kept.filter("times > 1 and kept_id is not null")
-    if again.isEmpty():
-        return out
-    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    smallest doc_id, once if its row (doc_id and text) repeats; null texts
+    without an id all stay."""
+    classes = staged(_classed(docs, threshold), "neardup-result")
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("tid").eqNullSafe(F.col("keep_tid")))
+    kept = kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("tid").alias("kept_tid")).agg(F.count(F.lit(1)).alias("times"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("__tid").eqNullSafe(F.col("kept_tid"))
+    out = docs.withColumn("__tid", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).join(kept.select("kept_id", "kept_tid"), same, "left_semi")
+    again = kept.filter("times > 1 and (kept_id is not null or kept_tid is not null)")
+    if not again.isEmpty():
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "__tid"]))
+    return out.drop("__tid")

@@ -289,6 +289,14 @@ def test_large_buckets_keep_every_membership(spark, monkeypatch):
     assert seen[-1] == want and len(want) > 500
 
 
+def test_kept_rows_go_by_id_and_text(spark):
+    one, two, three = ("the first text has words of its own and no others", "a second one is about something else entirely, as you see", "and the third, without any id, is there twice or more")
+    rows = [(5, one), (5, two), (5, two), (6, one), (None, three), (None, three), (7, None), (7, None), (None, None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, neardup.drop_near_duplicates(made).collect()))
+    assert got == Counter([(5, one), (5, two), (None, three), (7, None), (None, None)])
+
+
 def test_samples_estimate_similarity():
     idf = np.full(1 << neardup.IDF_BITS, 1.0, np.float32)
     words = [f"w{i}" for i in range(400)]
