@@ -450,5 +450,15 @@ def test_pipeline_stages(spark, sf):
     assert out.count() == docs.count()
 
 
+def test_pipeline_keeps_unlabelled_texts(spark, docs):
+    import corpus_pipeline
+
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    want = Counter((r.doc_id, r.text) for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+    got = corpus_pipeline.identify_language(spark, bare, "")
+    assert got.columns == docs.columns and Counter((r.doc_id, r.text) for r in got.collect()) == want
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == want
+
+
 def test_every_query_is_registered(spark):
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
