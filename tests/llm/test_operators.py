@@ -460,5 +460,42 @@ def test_pipeline_keeps_unlabelled_texts(spark, docs):
     assert Counter((r.doc_id, r.text) for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == want
 
 
+def test_pipeline_run_by_brute_force(spark, tmp_path, tokenizer):
+    import corpus_pipeline
+
+    said = lambda k, n: " ".join(f"{'abcdefgh'[k]}{'xyz'[i % 3]}word{'klmnop'[i % 6]}{i}" for i in range(n))
+    item = "which of these ten words is in the benchmark of tests"
+    rows = [(1, said(0, 40), "a"), (2, said(0, 40), "a"), (3, said(0, 40) + " more", "b"), (4, said(1, 30), "a"), (5, said(2, 25) + " " + item, "a"), (6, "12 34 ?!", "a"), (7, None, "b"), (8, said(3, 50), "b"), (9, said(4, 20), "b"), (10, said(5, 35), "b")]
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    letters = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    made = spark.createDataFrame([r[:2] for r in letters], "doc_id long, text string")
+    classes = brute_classes(made, neardup.damped_idf(*neardup.document_frequencies(made)))
+    first = {min(x for _, x in c) for c in classes}
+    hit = {d for (d, *_, bad) in brute_hits([r[:2] for r in letters if r[0] in first], [(1, item)]) if bad}
+    want = [r for r in letters if r[0] in first - hit]
+    assert sorted(r[0] for r in want) == [1, 4, 8, 9, 10]
+
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-2]:
+        path = common.stage_path(spark, "test-run")
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        kept.append({r.doc_id for r in docs.collect()})
+    assert kept == [{r[0] for r in letters}, first, first - hit]
+
+    crc = {i: zlib.crc32(np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes()) for i, t, _ in want}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    copies, size = Counter(r.doc_id for r in out), {i: len(t.split()) for i, t, _ in want}
+    assert set(copies) <= set(crc) and all(r.ids_crc32 == crc[r.doc_id] for r in out)
+    per = {s: [i for i, _, x in want if x == s] for s in "ab"}
+    target = dict(zip("ab", mixing.targets([sum(size[i] for i in per[s]) for s in "ab"], [1, 2])))
+    for s, ids in per.items():
+        passes = target[s] / sum(size[i] for i in ids)
+        assert all(math.floor(passes) <= copies[i] <= math.ceil(passes) for i in ids)
+        assert sum(copies[i] * size[i] for i in ids) >= target[s] - 1
+
+
 def test_every_query_is_registered(spark):
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
