@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 #: White space of the word class ``[^\x20\x09-\x0D]+``.
 SPACES = b" \t\n\x0b\x0c\r"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: Bytes in the Arrow batches that workers get (one longer row makes a batch).
+BATCH_BYTES = str(4 << 20)
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The folder all executors share.  Only where the session names none (as
-    in tests on one machine) a temporary one is made and named."""
+    """The folder all executors share.  Only where a local session names none
+    (as in tests on one machine) a temporary one is made and named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stackwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -42,7 +46,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what ``staged`` has written, once nothing reads it any more."""
+    for df in tables:
+        if path := getattr(df, "staged_at", None):
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` on batches of bounded bytes: texts differ in length by
+    orders of magnitude, so a bound on rows alone doesn't bound memory."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -224,8 +250,3 @@ def fold_of(column: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; null ids count as ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
-
-def bounded_batches(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)

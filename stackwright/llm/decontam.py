@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from .common import ALNUM_BYTES, buffers, plain, row_of, slices, span_hash, staged, table, word_spans, working_on
+from .common import ALNUM_BYTES, buffers, map_arrow, plain, row_of, slices, span_hash, staged, table, word_spans, working_on
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -203,7 +203,7 @@ def _pass(docs: DataFrame, test, window: int, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words.astype(np.int64)), spans[of], matches[of]], names=["doc_id", "n_words", "new_spans", "new_matches"])
 
     schema = docs.select("doc_id").schema.add("n_words", "long").add("new_spans", DataType.fromDDL(_SPANS)).add("new_matches", DataType.fromDDL(_MATCHES))
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def _lists(n: int, row: np.ndarray, fields: dict) -> pa.ListArray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, fold_of, kept_in_worker, mix64, plain, slices, table, working_on
+from .common import buffers, fold_of, kept_in_worker, map_arrow, mix64, plain, slices, table, working_on
 
 DIMENSIONS = 1024
 CLASSES = 256
@@ -130,7 +130,7 @@ def learn_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[lis
 
     rows = plain(docs, "text", "lang").filter("text is not null and lang is not null")
     # A row for each language and dimension comes to the driver.
-    sums = rows.mapInArrow(bundle, "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v")).collect()
+    sums = map_arrow(rows, bundle, "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v")).collect()
     names = sorted({r.lang for r in sums})
     out = np.zeros((len(names), dimensions))
     for r in sums:
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, keep: lis
                 score[i:j] = np.where(has, np.clip(near.max(axis=1), 0, 1), 0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(said, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).mapInArrow(label, out_schema)
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")), label, out_schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LINE_BYTES, WORD_BYTES, buffers, mix64, plain, row_of, slices, span_hash, staged, table, windows, word_spans, working_on
+from .common import LINE_BYTES, WORD_BYTES, buffers, map_arrow, mix64, plain, row_of, slices, span_hash, staged, table, windows, word_spans, working_on
 
 #: At most so many labelled rows, in hash order, fit the rules.
 LABELLED_ROWS = 100_000
@@ -103,7 +103,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
                 s = _stats(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *[pa.array(s[c].astype(np.int64)) for c in COUNTS]], names=["doc_id", *COUNTS])
 
-    return rows.mapInArrow(measure, schema)
+    return map_arrow(rows, measure, schema)
 
 
 # --- the rules --------------------------------------------------------------------------

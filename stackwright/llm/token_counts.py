@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, plain, slices, table, tidy, working_on
+from .common import buffers, map_arrow, plain, slices, table, tidy, working_on
 from .encoding import SLICE, Encoder, shipped
 
 _RANGE = 1024
@@ -36,7 +36,7 @@ def length_histogram(docs: DataFrame, tokenizer_path: str | None = None) -> Data
             tidy()
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(seen.keys(), pa.int64()), "docs": pa.array(seen.values(), pa.int64())})
 
-    return plain(docs, "text").mapInArrow(count, "n_tokens long, docs long").groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
+    return map_arrow(plain(docs, "text"), count, "n_tokens long, docs long").groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
 
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, plain, slices, stage_path, table, tidy, working_on
+from .common import buffers, map_arrow, plain, slices, stage_path, table, tidy, working_on
 from .encoding import CHUNKS, PIECES, SLICE, Encoder, shipped
 
 END_ID = 0
@@ -58,7 +58,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str | None = Non
     key = [F.col("doc_id"), F.xxhash64("text")]  # rows of one id may be dealt to several files
     rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(index_stride)}
-    rows.mapInArrow(encode, FILE_SCHEMA).write.options(**options).orc(path)
+    map_arrow(rows, encode, FILE_SCHEMA).write.options(**options).orc(path)
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -88,7 +88,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("at"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "at", "n_tokens", "ids_crc32"])
 
     files = spark.read.schema(FILE_SCHEMA).orc(path)
-    rows = files.mapInArrow(digest, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+    rows = map_arrow(files, digest, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
     return _with_start(rows, spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
