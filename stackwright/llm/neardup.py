@@ -2,50 +2,54 @@
 
 A text is the bag of its shingles of five words (ASCII lower-cased; a shorter
 text is one shingle).  A shingle weighs its count in the text times a damped
-inverse document frequency between 1/2 and 1, taken over all documents in
-``2 ** IDF_BITS`` hash buckets, a table of fixed size.  27 consistent weighted
-samples make 9 bands of 3; two texts of weighted Jaccard similarity 0.8 share a
-band with probability 0.998.
+inverse document frequency between ``1 - DAMPING`` and 1 (undamped, what a large
+group of copies shares weighs next to nothing and its copies fall apart), estimated over all documents by a
+count-mean sketch: ``IDF_ROWS`` hash rows of ``2 ** IDF_BITS`` counters, less
+what a counter holds of other shingles on average, and the median of the rows.
+27 consistent weighted samples make 9 bands of 3; two texts of weighted Jaccard
+similarity 0.8 share a band with probability 0.998.
 
 Candidates are all pairs of a band's bucket whose texts aren't in one class
 already.  To have few such pairs, each bucket has a hub, the text whose buckets
-hold most texts, and every member meets the hub first.  In a bucket of several
-classes after that, all pairs across classes meet if it is small; members of a
-large one are split by a second band they share, any of the other eight, and
-the same follows there.  Large buckets that then still hold several classes are
-searched whole: blocks of their members meet block by block, comparing the 27
-samples, and the pairs that agree meet, those that agree best first.  That takes
-time that grows with the square of such a bucket.  Pairs whose 27 samples agree in
-under half are dropped (3.9 standard deviations below 0.8); the others are
-verified by weighted Jaccard similarity of the whole texts.  Classes are the
-connected components of the verified pairs; equal texts are in one class
-without any pair.
+hold most texts, and every member meets the hub first; their pairs are verified
+by weighted Jaccard similarity of the whole texts.  A bucket of several classes
+after that, of any size, is searched whole in blocks: the members outside its
+largest class meet each other and that class, block by block.  A task compares
+the 27 samples of two blocks, drops pairs that agree in under half (3.9 standard
+deviations below 0.8), computes the exact similarity of the others as products
+of sparse bags, and returns a spanning forest of the similar pairs, so that rows
+grow with the members and never with their pairs.  Classes are the connected
+components of the links; equal texts are in one class without any pair.  Time
+grows with a bucket's members times those outside its largest class.
 
 Defined results: a null text is alone in its class (class_id is its doc_id, null
-for a null id); texts without words are in one class only if equal; repeated
-rows share a class; an empty table gives an empty result.  Other columns are ignored.
+for a null id; class_key null); texts without words are in one class only if
+equal; repeated rows share a class; classes that share a class_id, because ids
+repeat, differ in class_key; an empty table gives an empty result.  Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, buffers, mix64, plain, row_of, slices, span_hash, staged, table, tidy, windows, word_spans, working_on
+from .common import WORD_BYTES, buffers, discard, map_arrow, mix64, plain, row_of, slices, span_hash, staged, table, tidy, windows, word_spans, working_on
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Sums of weights are rounded; similarities this little below the threshold are at it.
+TIE = 1e-9
 BANDS, ROWS = 9, 3
 SAMPLES = BANDS * ROWS
-IDF_BITS = 18
-SMALL_BUCKET = 32
-LEVELS = 2
-MEETING = 512
-AGREE = (22, 18, 0)
+IDF_BITS, IDF_ROWS = 18, 3
+DAMPING = 0.25
+#: Texts, and bytes of them, in a block of a bucket.
+BLOCK_TEXTS, BLOCK_BYTES = 1024, 8 << 20
+#: Shingles of more texts than this are multiplied as dense columns, so many at a time.
+DENSE, COLUMNS = 32, 2048
 _BLOCK = 1 << 15
 _TABLE = 1 << 16
 
@@ -79,36 +83,52 @@ def _slices(column):
             yield k, z, data[offsets[k - i] : offsets[z - i]], offsets[k - i : z - i + 1] - offsets[k - i]
 
 
+def counters(h: np.ndarray, k: int) -> np.ndarray:
+    """Each shingle's counter in row k of the sketch."""
+    with np.errstate(over="ignore"):
+        return ((h * _ODD[k] & np.uint64((1 << 48) - 1)) >> np.uint64(48 - IDF_BITS)).astype(np.int64) + (k << IDF_BITS)
+
+
+_ODD = (np.uint64(1), np.uint64(0x9E3779B97F4B), np.uint64(0xD1B54A32D193))
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """How many texts hold a shingle of each hash bucket, and how many hold any."""
+    """The sketch of how many texts hold a shingle, less the average load, and
+    how many texts hold any."""
+    size = IDF_ROWS << IDF_BITS
 
     def run(batches):
         working_on("neardup")
-        seen = np.zeros((1 << IDF_BITS) + 1, np.int64)
+        seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             for _, _, data, offsets in _slices(batch.column("text")):
                 row, h, _ = shingles(data, offsets)
-                bucket = (h >> np.uint64(48 - IDF_BITS)).astype(np.int64)
-                new = np.ones(len(h), bool)  # sorted by row and hash, so by bucket
-                new[1:] = (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])
-                seen[:-1] += np.bincount(bucket[new], minlength=1 << IDF_BITS)
+                for k in range(IDF_ROWS):
+                    seen[:-1] += np.bincount(counters(h, k), minlength=size)
                 seen[-1] += len(np.unique(row))
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["counter", "n"])
 
-    got = plain(docs, "text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a row a bucket
-    out = np.zeros((1 << IDF_BITS) + 1, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return out[:-1], int(out[-1])
+    got = map_arrow(plain(docs, "text"), run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # a row a counter
+    out = np.zeros(size + 1, np.int64)
+    out[got["counter"].to_numpy()] = got["n"].to_numpy()
+    load = out[: 1 << IDF_BITS].sum()
+    return np.maximum(0, out[:-1] - (load - out[:-1]) / ((1 << IDF_BITS) - 1)), int(out[-1])
 
 
 def damped_idf(frequency: np.ndarray, documents: int) -> np.ndarray:
-    """1 for what no document has, 1/2 for what all have, linear in the log."""
-    return (1 - 0.5 * np.log1p(np.minimum(frequency, documents)) / np.log1p(max(1, documents))).astype(np.float32)
+    """1 for what no document has, ``1 - DAMPING`` for what all have, linear in the log."""
+    return (1 - DAMPING * np.log1p(np.minimum(frequency, documents)) / np.log1p(max(1, documents))).astype(np.float32)
+
+
+def shingle_idf(h: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The median of the rows' estimates."""
+    a, b, c = (idf[counters(h, k)] for k in range(IDF_ROWS))
+    return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
 
 
 def weights(h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return count.astype(np.float32) * idf[(h >> np.uint64(48 - IDF_BITS)).astype(np.int64)]
+    return count.astype(np.float32) * shingle_idf(h, idf)
 
 
 # --- samples ----------------------------------------------------------------------------
@@ -159,7 +179,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """doc_id, tid (hash of the text), bands (keys), sig (16 bits of each
     sample) for every row of ``docs``; without words, bands is null."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(idf)  # 1 MB
+    shared = spark.sparkContext.broadcast(idf)  # 3 MB
     rows = plain(docs, "doc_id", "text").select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("tid"), "text")
 
     def run(batches):
@@ -181,7 +201,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             tidy()
 
     schema = rows.select("doc_id", "tid").schema.add("bands", pa_list("long")).add("sig", pa_list("integer"))
-    return staged(rows.mapInArrow(run, schema), "neardup-sketches")
+    return staged(map_arrow(rows, run, schema), "neardup-sketches")
 
 
 def pa_list(kind: str):
@@ -223,18 +243,18 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
                 s = weighted_jaccard(part.column("ta").to_pylist(), part.column("tb").to_pylist(), shared.value)
-                ok = pa.array(s >= threshold)
+                ok = pa.array(s >= threshold - TIE)
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok), pa.array(s).filter(ok)], names=["a", "b", "similarity"])
 
-    return near.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+    return map_arrow(near.select("a", "b", "ta", "tb"), run, "a long, b long, similarity double")
 
 
 # --- components -------------------------------------------------------------------------
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """tid, comp (the smallest tid of its component) of the ends of ``edges``
-    (a, b).  Labels spread over the edges and along themselves until they stay."""
+    """tid, comp (the smallest tid of its component) and was of the ends of
+    ``edges`` (a, b), staged.  Labels spread over the edges and along themselves until they stay."""
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "neardup-edges")
     labels = staged(both.groupBy(F.col("a").alias("tid")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "neardup-labels")
     while True:
@@ -243,8 +263,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         spread = labels.join(best, "tid").select("tid", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         top = labels.select(F.col("tid").alias("comp"), F.col("comp").alias("top"))
         new = staged(spread.join(top, "comp", "left").select("tid", "was", F.least("comp", F.coalesce("top", "comp")).alias("comp")), "neardup-labels")
-        labels = new.select("tid", "comp")
+        discard(labels)
+        labels = new
         if new.filter("comp <> was").isEmpty():
+            discard(both)
             return labels
 
 
@@ -253,8 +275,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), n_class (rows in
-    it) for every row of ``docs`` (doc_id, text)."""
-    return _classed(docs, threshold).select("doc_id", "class_id", "n_class")
+    it), class_key (of its first text) for every row of ``docs`` (doc_id, text)."""
+    return _classed(docs, threshold).select("doc_id", "class_id", "n_class", F.col("keep_tid").alias("class_key"))
 
 
 def _classed(docs: DataFrame, threshold: float) -> DataFrame:
@@ -267,132 +289,165 @@ def _classed(docs: DataFrame, threshold: float) -> DataFrame:
     nodes = rows.filter("tid is not null").groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
     nodes = staged(nodes, "neardup-nodes")
     edges = _similar_edges(docs, nodes, idf, threshold)
-    if edges is None:
-        comps = nodes.select("tid", F.col("tid").alias("comp"))
-    else:
-        comps = nodes.select("tid").join(connected_components(edges), "tid", "left").select("tid", F.coalesce("comp", "tid").alias("comp"))
-    per = rows.filter("tid is not null").groupBy("tid").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")).join(comps, "tid")
+    comps = connected_components(edges)
+    discard(edges)
+    of = nodes.select("tid").join(comps.select("tid", "comp"), "tid", "left").select("tid", F.coalesce("comp", "tid").alias("comp"))
+    per = rows.filter("tid is not null").groupBy("tid").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")).join(of, "tid")
     classes = per.groupBy("comp").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "tid")).alias("first"), F.sum("n").alias("n_class"))
     classes = classes.select("comp", F.col("first.id").alias("class_id"), "n_class", F.col("first.tid").alias("keep_tid"))
     of_text = staged(per.select("tid", "comp").join(classes, "comp").select("tid", "class_id", "n_class", "keep_tid"), "neardup-classes")
+    discard(nodes, comps)
     known = rows.select("doc_id", "tid").filter("tid is not null").join(of_text, "tid").select("doc_id", "class_id", "n_class", "tid", "keep_tid")
     alone = rows.filter("tid is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"), "tid", F.col("tid").alias("keep_tid"))
     return known.unionByName(alone)
 
 
-def _similar_edges(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame | None:
-    """The verified pairs (a, b) between different texts, staged."""
+def _similar_edges(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Verified pairs (a, b) between different texts that link all classes, staged."""
     spread = nodes.filter("bands is not null").select("tid", F.explode("bands").alias("key"))
     often = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = staged(spread.join(often, "key"), "neardup-members")
-    met = staged(found.groupBy("tid").agg(F.sum("n").alias("mass")).join(nodes, "tid"), "neardup-met")
+    members = staged(spread.join(often, "key"), "neardup-members")
+    met = members.groupBy("tid").agg(F.sum("n").alias("mass")).join(nodes.select("tid", "first_id", "sig"), "tid")
     # The whole texts of those that share a bucket.
     said = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    texts = said.join(met.select("tid", "first_id"), (said["tid"] == met["tid"]) & said["doc_id"].eqNullSafe(met["first_id"]), "left_semi").select("tid", "text")
-    meet = _Meetings(met, staged(texts.dropDuplicates(["tid"]), "neardup-texts"), idf, threshold)
-    members = found.select("key", "tid").join(met.select("tid", "mass"), "tid")
-
-    for level in range(1, LEVELS + 1):
-        if level > 1:
-            members = _finer(members, met)
-        state = meet.classes(members)
-        hubs = state.groupBy("key").agg(F.max(F.struct("mass", "tid", "comp")).alias("h"))
-        meet.verify(state.join(hubs, "key").filter("comp <> h.comp").select(F.col("h.tid").alias("a"), F.col("tid").alias("b")))
-        state = meet.classes(members)
-        several = state.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        left = staged(state.join(several.select("key", "n"), "key"), "neardup-left")
-        small = left.filter(F.col("n") <= SMALL_BUCKET).select("key", F.col("tid").alias("a"), F.col("comp").alias("ca"))
-        other = small.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
-        meet.verify(small.join(other, "key").filter("a < b and ca <> cb").select("a", "b"))
-        members = left.filter(F.col("n") > SMALL_BUCKET).select("key", "tid", "mass")
-        if level == 1:
-            large = members
-            if large.isEmpty():
-                return meet.edges
-    _search_whole(large, met, meet)
-    return meet.edges
-
-
-def _search_whole(large: DataFrame, met: DataFrame, meet: _Meetings) -> None:
-    """Lets all pairs across classes meet in buckets (key, tid, mass) of any
-    size, those whose samples agree best first."""
-    state = meet.classes(large)
-    several = state.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    parts = several.select("key", F.ceil(F.col("n") / MEETING).cast("int").alias("parts"))
-    dealt = state.join(parts, "key").select("key", "tid", "comp", "parts", F.pmod(F.xxhash64("tid"), "parts").cast("int").alias("mine"))
-    dealt = dealt.join(met.select("tid", "bands", "sig"), "tid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "tid", "comp", "bands", "sig")
-
-    def compare(group: pa.Table) -> pa.Table:
-        key, x, y = (group.column(c)[0].as_py() for c in ("key", "x", "y"))
-        tid, comp, mine = (group.column(c).to_numpy() for c in ("tid", "comp", "mine"))
-        bands, sig = (group.column(c).combine_chunks().flatten().to_numpy().reshape(len(tid), -1) for c in ("bands", "sig"))
-        left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
-        agree = np.zeros((len(left), len(right)), np.int8)
-        for k in range(SAMPLES):
-            agree += sig[left, k][:, None] == sig[right, k]
-        i, j = np.nonzero((2 * agree >= SAMPLES) & (comp[left][:, None] != comp[right]))
-        n, i, j = agree[i, j], left[i], right[j]
-        same = bands[i] == bands[j]
-        ok = bands[i, same.argmax(axis=1)] == key  # a pair meets in the first bucket it shares
-        if x == y:
-            ok &= tid[i] < tid[j]
-        a, b = tid[i[ok]], tid[j[ok]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "agree": n[ok].astype(np.int32)})
-
-    close = staged(dealt.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long, agree int"), "neardup-close")
-    for least in AGREE:
-        meet.verify(meet.apart(close.filter(F.col("agree") >= least)))
-
-
-class _Meetings:
-    """The pairs that have met, the similar ones among them, and the classes
-    that these make."""
-
-    def __init__(self, met: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float):
-        self.met, self.texts, self.idf, self.threshold = met, texts, idf, threshold
-        self.edges: DataFrame | None = None
-        self.done: DataFrame | None = None
-        self.comps: DataFrame | None = None
-
-    def verify(self, pairs: DataFrame) -> bool:
-        """Lets the pairs (a, b) meet that haven't; whether there were any."""
-        pairs = pairs.distinct()
-        if self.done is not None:
-            pairs = pairs.join(self.done, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "neardup-pairs")
-        if pairs.isEmpty():
-            return False
-        similar = staged(similar_pairs(pairs, self.met, self.texts, self.idf, self.threshold).select("a", "b"), "neardup-similar")
-        self.done = pairs if self.done is None else staged(self.done.unionByName(pairs), "neardup-done")
-        if not similar.isEmpty():
-            self.edges = similar if self.edges is None else staged(self.edges.unionByName(similar), "neardup-similar")
-            self.comps = None
-        return True
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) across classes."""
-        if self.edges is None:
-            return pairs.select("a", "b")
-        ends = [self.classes(pairs.select(F.col(c).alias("tid")).distinct()).select(F.col("tid").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab"]
-        return pairs.join(ends[0], "a").join(ends[1], "b").filter("ca <> cb").select("a", "b")
-
-    def classes(self, members: DataFrame) -> DataFrame:
-        """The members (tid) with comp."""
-        if self.edges is None:
-            return members.withColumn("comp", F.col("tid"))
-        if self.comps is None:
-            self.comps = connected_components(self.edges)
-        return members.join(self.comps, "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
-
-
-def _finer(members: DataFrame, met: DataFrame) -> DataFrame:
-    """Members of large buckets by all pairs of the bands they have."""
-    tids = members.select("tid", "mass").distinct().join(met.select("tid", "bands"), "tid")
-    keys = F.array(*[F.xxhash64(*[F.element_at("bands", b + 1) for b in c], F.lit(str(c))) for c in itertools.combinations(range(BANDS), 2)])
-    spread = staged(tids.select("tid", "mass", F.explode(keys).alias("key")), "neardup-finer")
-    often = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return staged(spread.join(often.select("key"), "key"), "neardup-members")
+    said = said.join(met.select("tid", "first_id"), (said["tid"] == met["tid"]) & said["doc_id"].eqNullSafe(met["first_id"]), "left_semi")
+    texts = staged(said.select("tid", "text").dropDuplicates(["tid"]), "neardup-texts")
+    met = staged(met.join(texts.select("tid", F.octet_length("text").alias("bytes")), "tid").select("tid", "mass", "sig", "bytes"), "neardup-met")
+
+    weighed = members.select("key", "tid").join(met.select("tid", "mass", "bytes"), "tid")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("mass", "tid")).alias("h"))
+    pairs = weighed.join(hubs, "key").filter("tid <> h.tid").select(F.least("tid", "h.tid").alias("a"), F.greatest("tid", "h.tid").alias("b")).distinct()
+    star = staged(similar_pairs(pairs, met, texts, idf, threshold).select("a", "b"), "neardup-hub-links")
+    comps = connected_components(star)
+    state = staged(weighed.join(comps.select("tid", "comp"), "tid", "left").select("key", "tid", "bytes", F.coalesce("comp", "tid").alias("comp")), "neardup-state")
+    rest = staged(_search_buckets(state, met, texts, idf, threshold), "neardup-block-links")
+    links = staged(star.unionByName(rest).distinct(), "neardup-links")
+    discard(members, met, texts, star, comps, state, rest)
+    return links
+
+
+def _search_buckets(state: DataFrame, met: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b) between the classes of each bucket (key, tid, bytes, comp):
+    all its pairs across classes meet, in blocks."""
+    one = F.count(F.lit(1))
+    per = state.groupBy("key", "comp").agg(one.alias("n"), F.sum("bytes").alias("size"))
+    tops = per.groupBy("key").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).filter("top.n < n")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    tops = tops.select("key", F.col("top.comp").alias("main"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("q"), blocks(F.col("top.n"), F.col("top.size")).alias("p"))
+    # Blocks 0 to q - 1 hold what lies outside the largest class, q to q + p - 1 that class.  Two small blocks are one.
+    block = F.expr("CASE WHEN q + p <= 2 THEN 0 WHEN comp = main THEN q + pmod(xxhash64(tid), p) ELSE pmod(xxhash64(tid), q) END").cast("int")
+    dealt = state.join(tops, "key").withColumn("mine", block).withColumn("last", F.expr("CASE WHEN q + p <= 2 THEN 0 WHEN comp = main THEN q - 1 ELSE q + p - 1 END"))
+    dealt = dealt.select("key", "tid", "comp", "mine", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "tid", "comp")
+    full = dealt.join(met.select("tid", "sig"), "tid").join(texts, "tid").select("key", "x", "y", "mine", "tid", "comp", "sig", "text")
+    full = full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "mine", "tid")
+    shared = state.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches):
+        working_on("neardup")
+        group, held = None, []
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "x", "y")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if held and group != tuple(key[:, i]):
+                    yield _block_links(held, shared.value, threshold)
+                    held = []
+                group = tuple(key[:, i]) if j > i else group
+                if j > i:
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield _block_links(held, shared.value, threshold)
+        tidy()
+
+    return map_arrow(full, run, "a long, b long")
+
+
+def _block_links(parts: list[pa.RecordBatch], idf: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """A spanning forest of the similar pairs across classes between two blocks
+    (mine) of a bucket, or within one."""
+    table_ = pa.Table.from_batches(parts).combine_chunks()
+    tid, comp, mine = (table_.column(c).to_numpy() for c in ("tid", "comp", "mine"))
+    x, y = table_.column("x")[0].as_py(), table_.column("y")[0].as_py()
+    left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+    sig = table_.column("sig").combine_chunks().flatten().to_numpy().reshape(len(tid), -1)
+    agree = np.zeros((len(left), len(right)), np.int8)
+    for k in range(SAMPLES):
+        agree += sig[left, k][:, None] == sig[right, k]
+    maybe = (2 * agree >= SAMPLES) & (comp[left][:, None] != comp[right])
+    left, right, maybe = left[(i := maybe.any(axis=1))], right[(j := maybe.any(axis=0))], maybe[i][:, j]
+    a = b = np.zeros(0, np.int64)
+    if maybe.any():
+        texts = table_.column("text").combine_chunks()
+        both = np.unique(np.concatenate([left, right]))
+        near = similarities(texts.take(pa.array(both)), np.searchsorted(both, left), np.searchsorted(both, right), idf)
+        i, j = np.nonzero(maybe & (near >= threshold - TIE))
+        i, j = _forest(left[i], right[j])
+        a, b = np.minimum(tid[i], tid[j]), np.maximum(tid[i], tid[j])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def similarities(texts: pa.Array, left: np.ndarray, right: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of every left text with every right one.  A
+    shingle that a text holds n times counts as n features, so the common weight
+    of two texts is a product of bags; frequent features are multiplied as dense
+    columns, the others pair by pair."""
+    rows, hs, counts = [], [], []
+    for i, _, data, offsets in _slices(texts):
+        row, h, count = shingles(data, offsets)
+        rows.append(row + i)
+        hs.append(h)
+        counts.append(count)
+    row, h, count = np.concatenate(rows), np.concatenate(hs), np.concatenate(counts)
+    w = shingle_idf(h, idf).astype(np.float64)
+    total = np.bincount(row, weights=w * count, minlength=len(texts))
+    level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    row, h, w = np.repeat(row, count), np.repeat(h, count), np.repeat(w, count)
+    order = np.lexsort((row, level, h))
+    row, h, w, level = row[order], h[order], w[order], level[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (level[1:] != level[:-1])
+    feature = np.cumsum(new) - 1
+    often = np.bincount(feature)
+    common = np.zeros((len(texts), len(texts)))
+    # Each feature of few texts adds its weight to their pairs.
+    start = np.flatnonzero(new)
+    for n in range(2, DENSE + 1):
+        at = start[often == n]
+        if len(at):
+            of = row[at[:, None] + np.arange(n)]
+            i, j = np.triu_indices(n, 1)
+            common += np.bincount((of[:, i] * len(texts) + of[:, j]).ravel(), weights=np.repeat(w[at], len(i)), minlength=len(texts) ** 2).reshape(common.shape)
+    common += common.T
+    dense = np.flatnonzero(often > DENSE)
+    place = np.full(len(often), -1)
+    place[dense] = np.arange(len(dense))
+    column = place[feature]
+    for k in range(0, len(dense), COLUMNS):
+        use = (column >= k) & (column < k + COLUMNS)
+        bag = np.zeros((len(texts), min(COLUMNS, len(dense) - k)))
+        bag[row[use], column[use] - k] = np.sqrt(w[use])
+        common += bag @ bag.T
+    common = common[left][:, right]
+    union = total[left][:, None] + total[right] - common
+    return np.where(union > 0, common / np.maximum(union, 1e-9), 0.0)
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of (a, b) that link all that they link."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := top.get(x, x)) != x:
+            top[x] = x = top.get(up, up)
+        return x
+
+    keep = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        if (x := root(x)) != (y := root(y)):
+            top[y] = x
+            keep.append(k)
+    return a[keep], b[keep]
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,11 +459,11 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     smallest doc_id, once if its row (doc_id and text) repeats; null texts
     without an id all stay."""
     classes = staged(_classed(docs, threshold), "neardup-result")
+    key = lambda df, tid: [F.coalesce(df["doc_id"], F.lit(0)).alias("k1"), F.isnull(df["doc_id"]).alias("k2"), F.coalesce(tid, F.lit(0)).alias("k3"), F.isnull(tid).alias("k4")]
     kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("tid").eqNullSafe(F.col("keep_tid")))
-    kept = kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("tid").alias("kept_tid")).agg(F.count(F.lit(1)).alias("times"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("__tid").eqNullSafe(F.col("kept_tid"))
-    out = docs.withColumn("__tid", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).join(kept.select("kept_id", "kept_tid"), same, "left_semi")
-    again = kept.filter("times > 1 and (kept_id is not null or kept_tid is not null)")
-    if not again.isEmpty():
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "__tid"]))
-    return out.drop("__tid")
+    keys = ["k1", "k2", "k3", "k4"]
+    # Rows that repeat meet before the shuffle, so a hot row is a row a partition.
+    whole = docs.filter("doc_id is not null or text is not null").select(*key(docs, F.when(docs["text"].isNotNull(), F.xxhash64(docs["text"]))), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = whole.groupBy(*keys).agg(F.first("row").alias("row"))
+    out = whole.join(kept.select(*key(kept, kept["tid"])), keys, "left_semi").select("row.*")
+    return out.unionByName(docs.filter("doc_id is null and text is null"))

@@ -218,8 +218,9 @@ def test_near_duplicates_by_brute_force(spark, docs, real, nothing):
     assert sorted(tuple(sorted(v)) for v in got.values()) == brute_classes(made, idf)
     assert len({r.class_id for r in d.filter("doc_id in (100, 101, 133, 200)").collect()}) == 1
     assert neardup.near_duplicates(nothing).count() == 0
-    kept = neardup.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and kept.filter("doc_id in (1, 5)").count() == 1
+    odd = docs.withColumnsRenamed({"h": "kept_id", "size": "a.b"})
+    kept = neardup.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and kept.filter("doc_id in (1, 5)").count() == 1
 
 
 def band_classes(df, least=0.8):
@@ -254,39 +255,48 @@ def drifted(n, changes, seed):
     return out
 
 
-def test_large_buckets_are_searched_whole(spark):
-    made = spark.createDataFrame(drifted(600, (2, 5), 3), "doc_id long, text string").repartition(3)
+@pytest.mark.parametrize("texts, size", [(1024, 8 << 20), (64, 8 << 20), (1024, 20_000)])
+def test_large_buckets_are_searched_whole(spark, monkeypatch, texts, size):
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", texts)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", size)
+    made = spark.createDataFrame(drifted(500, (2, 5), 3), "doc_id long, text string").repartition(3)
     want, largest = band_classes(made)
-    assert largest > 5 * neardup.SMALL_BUCKET and len(set(want.values())) > 10
+    assert largest > 150 and len(set(want.values())) > 10
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(made).collect()} == want
 
 
-def test_large_buckets_keep_every_membership(spark, monkeypatch):
-    # Texts of two large buckets each: any two of a bucket whose samples agree meet, once.
-    monkeypatch.setattr(neardup, "MEETING", 16)
-    rng = np.random.default_rng(8)
-    rows = []
-    for t in range(120):
-        bands = [1000 * b + int(rng.integers(3)) if b < 2 else 10**6 + 100 * t + b for b in range(neardup.BANDS)]
-        rows.append((t, 1, bands, [int(x) for x in rng.integers(0, 2, neardup.SAMPLES)]))
-    met = spark.createDataFrame(rows, "tid long, mass long, bands array<long>, sig array<int>")
-    large = met.select("tid", "mass", F.explode("bands").alias("key")).filter("key < 1000000")
-    seen = []
+@pytest.mark.parametrize("dense", [1, 3, 1000])
+def test_block_similarities_are_those_of_pairs(monkeypatch, dense):
+    monkeypatch.setattr(neardup, "DENSE", dense)
+    monkeypatch.setattr(neardup, "COLUMNS", 50)
+    texts = [x for _, x in drifted(40, (0, 60), 5)] + ["a a a a a a a a a", "a a a a a a a", "x", "", "w0 w1 w2 w3 w4 w5 " * 9]
+    idf = np.random.default_rng(1).uniform(0.5, 1, neardup.IDF_ROWS << neardup.IDF_BITS).astype(np.float32)
+    n = np.arange(len(texts))
+    got = neardup.similarities(common.pa.array(texts), n, n, idf)
+    i, j = np.triu_indices(len(texts), 1)
+    assert np.allclose(got[i, j], neardup.weighted_jaccard([texts[k] for k in i], [texts[k] for k in j], idf), atol=1e-9)
 
-    class Meet:
-        def classes(self, members):
-            return members.withColumn("comp", F.col("tid") % 40)
 
-        def apart(self, pairs):
-            return pairs.select("a", "b")
+def test_block_links_are_a_forest():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 40, 300), rng.integers(40, 60, 300)
+    x, y = neardup._forest(a, b)
+    assert len(x) == len(set(a) | set(b)) - 1  # so many pairs link them all
 
-        def verify(self, pairs):
-            seen.append(sorted(map(tuple, pairs.collect())))
 
-    neardup._search_whole(large, met, Meet())
-    agree = lambda x, y: sum(a == b for a, b in zip(x[3], y[3]))
-    want = sorted((x[0], y[0]) for x, y in itertools.combinations(rows, 2) if x[0] % 40 != y[0] % 40 and set(x[2]) & set(y[2]) and 2 * agree(x, y) >= neardup.SAMPLES)
-    assert seen[-1] == want and len(want) > 500
+def test_classes_of_shared_ids_differ_in_key(spark):
+    rows = [(7, "one text of some words that stands alone here"), (7, "another text with other words altogether, you see"), (8, "one text of some words that stands alone here")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {7} and Counter(r.class_key for r in got).most_common(1)[0][1] == 2
+
+
+def test_frequencies_leave_out_the_average_load(spark):
+    rows = [(i, "the common opening words of all " + " ".join(f"u{i}x{k}" for k in range(300))) for i in range(800)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    frequency, n = neardup.document_frequencies(made)
+    row, h, _ = neardup.shingles(*common.buffers(common.pa.array([rows[0][1]])))
+    got = sorted(np.median([frequency[neardup.counters(h, k)] for k in range(3)], axis=0))
+    assert n == 800 and got[-1] == pytest.approx(800, abs=5) and np.median(got) < 2.5
 
 
 def test_kept_rows_go_by_id_and_text(spark):
@@ -298,7 +308,7 @@ def test_kept_rows_go_by_id_and_text(spark):
 
 
 def test_samples_estimate_similarity():
-    idf = np.full(1 << neardup.IDF_BITS, 1.0, np.float32)
+    idf = np.full(neardup.IDF_ROWS << neardup.IDF_BITS, 1.0, np.float32)
     words = [f"w{i}" for i in range(400)]
     a, b = " ".join(words), " ".join(words[:360])
     row, h, n = neardup.shingles(*common.buffers(common.pa.array([a, b])))
