@@ -5,8 +5,10 @@ single space that a visible character follows.  Texts are therefore cut there,
 and a text's ids are its chunks' ids in order.  Chunks are told apart by 64-bit
 hashes; a worker keeps the ids of those it has met in flat arrays.  A new chunk is
 split into the pieces that the file's pattern makes, and each new piece is encoded
-by the library.  Texts with other white space after a space, and files of any
-other kind, go to the library whole.  Strings of special tokens are ordinary text.
+by the library.  Texts with other white space after a space or with the string of
+an added token, and files of any other kind, go to the library whole.  Strings of
+special tokens in a text become those tokens, as the library has it by default;
+``plain_specials`` makes them ordinary text.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from .common import kept_in_worker, span_hash
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that are encoded together.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Chunks and pieces that a worker remembers, about 25 bytes and 150 bytes each.
 #: What it has forgotten it encodes again, so they trade memory for time only.
-CHUNKS, PIECES = 2_500_000, 500_000
+CHUNKS, PIECES = 1_500_000, 300_000
 #: Ids of chunks that a worker remembers (2 or 4 bytes each).
 IDS = 1 << 24
 #: How byte-level BPE files split a text.
@@ -49,20 +51,21 @@ def shipped(spark: SparkSession, path: str | None = None):
 
 
 class Encoder:
-    def __init__(self, text: str, chunks: int = CHUNKS, pieces: int = PIECES):
+    def __init__(self, text: str, chunks: int = CHUNKS, pieces: int = PIECES, plain_specials: bool = False):
         self.most_chunks, self.most_pieces = chunks, pieces
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # an executor has its own cores busy
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         spec = json.loads(text)
         pre = spec.get("pre_tokenizer") or {}
         self.chunked = (
             not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
             and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
-            and all(t.get("special") and not t.get("lstrip") for t in spec.get("added_tokens") or ())
+            and all(t.get("special") and not t.get("lstrip") and not any(map(str.isspace, t["content"])) for t in spec.get("added_tokens") or ())
         )
+        self.added = [] if plain_specials else [t["content"] for t in spec.get("added_tokens") or ()]
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.pieces: dict[str, bytes] = {}
         self._forget()
@@ -73,8 +76,8 @@ class Encoder:
         self.ids = np.zeros(0, self.width)
 
     @classmethod
-    def of(cls, shared, chunks: int = CHUNKS, pieces: int = PIECES) -> Encoder:
-        return kept_in_worker(f"encoder-{hash(shared.value)}-{chunks}-{pieces}", lambda: cls(shared.value, chunks, pieces))
+    def of(cls, shared, chunks: int = CHUNKS, pieces: int = PIECES, plain_specials: bool = False) -> Encoder:
+        return kept_in_worker(f"encoder-{hash(shared.value)}-{chunks}-{pieces}-{plain_specials}", lambda: cls(shared.value, chunks, pieces, plain_specials))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         kind = {2: "H", 4: "I"}[self.width.itemsize]
@@ -97,6 +100,8 @@ class Encoder:
         at = len(self.ids) + np.cumsum(n) - n
         odd = [i for i in np.flatnonzero((second <= 32) | (second >= 127)) if (x := texts[i])[0] == " " and (len(x) == 1 or x[1].isspace() or not x[1].isprintable())]
         n[odd] = -1
+        if self.added:
+            n[[i for i, x in enumerate(texts) if any(t in x for t in self.added)]] = -1
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), self.width)])
         place = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.n = np.insert(self.keys, place, keys), np.insert(self.at, place, at.astype(np.int32)), np.insert(self.n, place, n.astype(np.int32))
