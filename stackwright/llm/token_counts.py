@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, map_arrow, plain, slices, table, tidy, working_on
+from .common import buffers, map_arrow, plain, slices, staged, table, tidy, working_on
 from .encoding import SLICE, Encoder, shipped
 
 _RANGE = 1024
 
 
 def length_histogram(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """n_tokens, docs for each distinct encoded length of ``docs`` (text)."""
+    """n_tokens, docs for each distinct encoded length of ``docs`` (text), staged:
+    its users read it more than once and texts are encoded once."""
     shared = shipped(docs.sparkSession, tokenizer_path)
 
     def count(batches):
@@ -36,7 +37,7 @@ def length_histogram(docs: DataFrame, tokenizer_path: str | None = None) -> Data
             tidy()
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(seen.keys(), pa.int64()), "docs": pa.array(seen.values(), pa.int64())})
 
-    return map_arrow(plain(docs, "text"), count, "n_tokens long, docs long").groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
+    return staged(map_arrow(plain(docs, "text"), count, "n_tokens long, docs long").groupBy("n_tokens").agg(F.sum("docs").alias("docs")), "token-lengths")
 
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:
@@ -65,9 +66,9 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
     want = F.broadcast(sums.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long"))  # as many rows as limits
     longer = sums.join(want, F.col("n_tokens") > F.col("limit")).groupBy("limit").agg(
         F.max("docs_at_least").alias("docs_cut"), (F.max("tokens_at_least")).alias("cut_tokens"))
-    total = sums.agg(F.max("total_tokens").alias("total"))
+    total = sums.agg(F.max("total_tokens")).first()[0]
     zero = lambda c: F.coalesce(c, F.lit(0))
-    out = want.join(longer, "limit", "left").join(F.broadcast(total))
+    out = want.join(longer, "limit", "left").withColumn("total", F.lit(total).cast("long"))
     return out.select("limit", zero("docs_cut").alias("docs_cut"), (zero("total") - zero("cut_tokens") + F.col("limit") * zero("docs_cut")).alias("tokens_kept"))
 
 
