@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LINE_BYTES, WORD_BYTES, buffers, map_arrow, mix64, plain, row_of, slices, span_hash, staged, table, windows, word_spans, working_on
+from .common import LINE_BYTES, WORD_BYTES, buffers, discard, map_arrow, mix64, plain, row_of, slices, span_hash, staged, table, windows, word_spans, working_on
 
 #: At most so many labelled rows, in hash order, fit the rules.
 LABELLED_ROWS = 100_000
@@ -179,7 +179,9 @@ def _prune(rule: Rule, x: np.ndarray, y: np.ndarray) -> Rule:
 def learn_rules(x: np.ndarray, poor: np.ndarray, turn: np.ndarray, precision: float = 0.9, least: int = 3, most_rules: int = 16, most_tests: int = 4) -> list[Rule]:
     """Rules for the ``poor`` rows.  ``turn`` deals rows to growing (0, 1) and
     pruning (2).  A rule must be right for ``precision`` of the rows it covers
-    in both parts together, and cover at least ``least`` poor ones."""
+    in both parts together, and cover at least ``least`` poor ones.  The list ends
+    after ``most_rules`` rules, and a rule after ``most_tests`` tests: they bound
+    the size of the model, not the rows it learns from or judges."""
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
     while len(rules) < most_rules and poor[left].any():
@@ -202,8 +204,15 @@ def fit_rules(stats: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, **
     """Rules from ``labels`` (doc_id, quality), on at most ``rows`` labelled
     rows taken in hash order."""
     known = plain(labels, "doc_id", "quality").filter("doc_id is not null and quality is not null").distinct()
-    joined = stats.filter("n_words > 0").join(known, "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit(7)))
-    got = joined.select("doc_id", "h", "quality", *[F.expr(e).cast("double").alias(f"f_{n}") for n, e in FEATURES.items()]).orderBy("h", "doc_id", "quality").limit(rows).toPandas()
+    joined = staged(
+        stats.filter("n_words > 0").join(known, "doc_id").select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h"), "quality", *[F.expr(e).cast("double").alias(f"f_{n}") for n, e in FEATURES.items()]), "quality-labelled"
+    )
+    # The first rows in hash order lie below a bound that the count gives, with five standard
+    # deviations to spare; only what lies below it is sorted and sent.
+    share = (rows + 5 * rows**0.5 + 100) / max(1, joined.count())
+    below = joined if share >= 1 else joined.filter(F.col("h") < F.lit(int((share - 0.5) * 2**64)))
+    got = below.orderBy("h", "doc_id", "quality").limit(rows).toPandas()
+    discard(joined)
     x = got[[f"f_{n}" for n in FEATURES]].to_numpy(float)
     return learn_rules(x, got["quality"].to_numpy() == 0, np.arange(len(got)) % 3, **options)
 
