@@ -140,10 +140,11 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def search(test: TestSet, doc: np.ndarray, at: np.ndarray, rows: np.ndarray):
+def search(test: TestSet, doc: np.ndarray, at: np.ndarray, rows: np.ndarray, longest: bool = True):
     """Occurrences of the test windows at training suffixes (document, word
-    place, next words): hit words (doc, word), and the longest matches
-    (doc, item, item word, doc word, words)."""
+    place, next words): hit words (doc, word), the items (doc, item) that they
+    are of, and, if wanted, the longest matches (doc, item, item word, doc word,
+    words)."""
     key = _keys(rows, test.window)
     array = np.argsort(key, kind="stable")
     key = key[array]
@@ -156,6 +157,14 @@ def search(test: TestSet, doc: np.ndarray, at: np.ndarray, rows: np.ndarray):
     hit = np.stack([d[occ], word])
     order = np.lexsort(hit[::-1])
     hit = hit[:, order][:, _groups(*hit[:, order])]
+    # Each window of a document once, then the items it is of.
+    once = np.unique(d * np.int64(len(test.width) + 1) + window)
+    of_doc, of_window = once // (len(test.width) + 1), once % (len(test.width) + 1)
+    occ, k = _expand(test.places[of_window], test.places[of_window + 1])
+    pair = np.unique(of_doc[occ] * np.int64(len(test.ids) + 1) + test.item[k])
+    items = pair // (len(test.ids) + 1), pair % (len(test.ids) + 1)
+    if not longest:
+        return hit, items, (np.zeros(0, np.int64),) * 5
     # Along a diagonal of (document, item), windows at consecutive places are one match.
     occ, k = _expand(test.places[window], test.places[window + 1])
     item, j = test.item[k], test.at[k]
@@ -164,11 +173,11 @@ def search(test: TestSet, doc: np.ndarray, at: np.ndarray, rows: np.ndarray):
     d, p, w, item, j = d[order], p[order], w[order], item[order], j[order]
     start = _groups(d, item, p - j, p - np.arange(len(p)))
     last = np.concatenate([start[1:], [len(p)]])[: len(start)] - 1
-    return hit, (d[start], item[start], j[start], p[start], p[last] - p[start] + w[last])
+    return hit, items, (d[start], item[start], j[start], p[start], p[last] - p[start] + w[last])
 
 
-def _pass(docs: DataFrame, test, window: int, least: int) -> DataFrame:
-    """Adds one block's hits to ``docs`` (doc_id, text, spans, items, matches)."""
+def _pass(docs: DataFrame, test, window: int, least: int, longest: bool) -> DataFrame:
+    """One block's hits in ``docs`` (doc_id, text)."""
 
     def run(batches):
         working_on("decontam")
@@ -190,19 +199,20 @@ def _pass(docs: DataFrame, test, window: int, least: int) -> DataFrame:
 
     def shard(suite, held):
         base = np.cumsum([0, *[b.num_rows for b, *_ in held]])
-        hit, match = search(suite, np.concatenate([r + k for (_, _, r, _, _), k in zip(held, base)]), np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held]))
+        hit, items, match = search(suite, np.concatenate([r + k for (_, _, r, _, _), k in zip(held, base)]), np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held]), longest)
         n = int(base[-1])
         # Hit words as spans of each document, with those of earlier blocks.
         start = _groups(hit[0], hit[1] - np.arange(hit.shape[1]))
         last = np.concatenate([start[1:], [hit.shape[1]]])[: len(start)] - 1
         spans = _lists(n, hit[0][start], {"start": hit[1][start], "end": hit[1][last] + 1})
         names = np.array(suite.ids, object)
+        found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(items[0], minlength=n))]).astype(np.int32)), pa.array(names[items[1]], pa.string()))
         matches = _lists(n, match[0], {"item_id": pa.array(names[match[1]], pa.string()), "item_word": match[2], "doc_word": match[3], "n_words": match[4]})
         for k, (b, words, *_) in enumerate(held):
             of = slice(int(base[k]), int(base[k + 1]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words.astype(np.int64)), spans[of], matches[of]], names=["doc_id", "n_words", "new_spans", "new_matches"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words.astype(np.int64)), spans[of], found[of], matches[of]], names=["doc_id", "n_words", "new_spans", "new_items", "new_matches"])
 
-    schema = docs.select("doc_id").schema.add("n_words", "long").add("new_spans", DataType.fromDDL(_SPANS)).add("new_matches", DataType.fromDDL(_MATCHES))
+    schema = docs.select("doc_id").schema.add("n_words", "long").add("new_spans", DataType.fromDDL(_SPANS)).add("new_items", DataType.fromDDL("array<string>")).add("new_matches", DataType.fromDDL(_MATCHES))
     return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
@@ -232,42 +242,44 @@ _ADD_SPANS = """aggregate(
     ELSE array_append(slice(a, 1, size(a) - 1), named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end))) END)"""
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, spans (word ranges that test windows hit), matches
-    (longest verbatim matches with their locations) for every row of ``docs``."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, longest: bool = True) -> DataFrame:
+    """doc_id, n_words, spans (word ranges that test windows hit), items (ids
+    whose windows do), matches (longest verbatim matches with their locations; as
+    many as occurrences times their places in items, so empty unless ``longest``)
+    for every row of ``docs``."""
     spark = docs.sparkSession
     rows = plain(docs, "doc_id", "text")
     blocks = test_blocks(benchmark, window, block_words)
     first, more = next(blocks), next(blocks, None)
     if more is None:
-        out = _pass(rows, first.shared(spark), window, first.least)
-        return out.select("doc_id", "n_words", F.col("new_spans").alias("spans"), F.col("new_matches").alias("matches"))
+        out = _pass(rows, first.shared(spark), window, first.least, longest)
+        return out.select("doc_id", "n_words", F.col("new_spans").alias("spans"), F.col("new_items").alias("items"), F.col("new_matches").alias("matches"))
     numbered = staged(rows.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("row"))), "decontam-rows")
     parts = []
     for block in (b for bs in ([first, more], blocks) for b in bs):
         shared = block.shared(spark)
-        parts.append(staged(_pass(numbered, shared, window, block.least).filter("size(new_spans) > 0").drop("n_words"), "decontam-block"))
+        parts.append(staged(_pass(numbered, shared, window, block.least, longest).filter("size(new_spans) > 0").drop("n_words"), "decontam-block"))
         shared.unpersist()
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    hits = hits.groupBy(F.col("doc_id").alias("k")).agg(F.expr(_ADD_SPANS).alias("spans"), F.flatten(F.collect_list("new_matches")).alias("matches"))
+    hits = hits.groupBy(F.col("doc_id").alias("k")).agg(F.expr(_ADD_SPANS).alias("spans"), F.array_distinct(F.flatten(F.collect_list("new_items"))).alias("items"), F.flatten(F.collect_list("new_matches")).alias("matches"))
     none = TestSet([], [], window)
-    counted = _pass(numbered, none.shared(spark), window, none.least).drop("new_spans", "new_matches")
+    counted = _pass(numbered, none.shared(spark), window, none.least, longest).drop("new_spans", "new_items", "new_matches")
     out = counted.join(hits, F.col("doc_id.row") == F.col("k.row"), "left")
-    return out.select("doc_id.doc_id", "n_words", F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"), F.coalesce("matches", F.expr(f"cast(array() as {_MATCHES})")).alias("matches"))
+    return out.select("doc_id.doc_id", "n_words", F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce("matches", F.expr(f"cast(array() as {_MATCHES})")).alias("matches"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents of ``docs`` that no test window occurs in, all columns."""
-    keep = docs.withColumn("__all", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    out = contamination(keep.select(F.col("__all").alias("doc_id"), "text"), benchmark, window)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
+    out = contamination(rows, benchmark, window, longest=False)
     return out.filter("size(spans) = 0").select("doc_id.*")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=False)
+    items = F.array_sort("items")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     out = found.select("doc_id", "n_words", hit.alias("n_hit"), items.alias("items"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
