@@ -12,7 +12,8 @@ and the change can be undone.  ``loss_spans`` are the character ranges of the
 assistant texts in the string.
 
 Defined results: null text, role or score count as '', '' and 0; a message
-whose parent is missing is a root; parent links that form a cycle are ignored;
+whose parent is missing is a root; the links of a cycle are ignored, those of messages below it
+hold;
 repeated messages are separate ones when the caller numbers them; an empty
 table gives no conversation.  Other columns are ignored.
 """
@@ -74,8 +75,9 @@ def root_to_leaf_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
             left = now.filter("up is not null").count()
         if not left:
             break
-        # What still points up lies on a cycle or below one: those links go.
-        loop = now.filter("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"))
+        # Whatever still points up has walked as many steps as there are messages, so it
+        # points into a cycle, and every message of a cycle is pointed at: their links go.
+        loop = now.filter("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
         cut = step.join(loop, _same("tree", "t") & (F.col("node") == F.col("n")), "left")
         step = staged(cut.select("tree", "node", F.when(F.col("n").isNull(), F.col("up")).alias("up"), "depth", "total", "score"), "chat-cut")
 

@@ -27,6 +27,8 @@ from .common import buffers, fold_of, kept_in_worker, map_arrow, mix64, plain, s
 DIMENSIONS = 1024
 CLASSES = 256
 UNKNOWN = "und"
+#: Labelled rows that fit the least cosine, and the trigrams from which it holds.
+FIT_ROWS, LONG = 20_000, 200
 _SLICE = 1 << 20
 
 
@@ -139,20 +141,21 @@ def learn_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[lis
 
 
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """The rows of ``docs`` (columns ``keep``; all by default) with lang_pred
-    and score, the cosine of text and prototype, at 0 where it is below."""
+    """record (a struct of the columns ``keep`` of ``docs``, all by default, so
+    that no name can clash), lang_pred, score, the cosine of text and prototype,
+    at 0 where it is below, and n_grams, the text's trigrams."""
     dimensions = prototypes.shape[1] if len(names) else DIMENSIONS
     unit = (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     if keep is None:
         keep = docs.columns
-    schema = docs.select(*keep).schema
-    out_schema = type(schema)(list(schema.fields)).add("lang_pred", "string").add("score", "double")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("record"), F.col("text").alias("text"))
+    out_schema = rows.select("record").schema.add("lang_pred", "string").add("score", "double").add("n_grams", "long")
 
     def label(batches):
         working_on("langid")
         for batch in batches:
-            said, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            for i, j, data, offsets in _blocks(*buffers(batch.column("__text"))) if names else ():
+            said, score, grams = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            for i, j, data, offsets in _blocks(*buffers(batch.column("text"))) if names else ():
                 kinds, counts = counted(data, offsets)
                 if not len(kinds):
                     continue
@@ -163,13 +166,38 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, keep: lis
                 for k in np.flatnonzero(has):
                     said[i + k] = names[best[k]]
                 score[i:j] = np.where(has, np.clip(near.max(axis=1), 0, 1), 0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(said, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                grams[i:j] = counts.sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(said, pa.string()), pa.array(score), pa.array(grams)], names=["record", "lang_pred", "score", "n_grams"])
 
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")), label, out_schema)
+    return map_arrow(rows, label, out_schema)
+
+
+def least_cosine(docs: DataFrame, names: list[str], prototypes: np.ndarray, rows: int = FIT_ROWS) -> float:
+    """The cosine below which a text of ``LONG`` trigrams or more is in no known
+    language: half of what all but one in a hundred labelled texts of that
+    length reach.  It is fitted on about ``rows`` labelled rows in hash order."""
+    known = plain(docs, "text", "lang").filter("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
+    share = rows / max(1, known.count())
+    some = known if share >= 1 else known.filter(F.col("h") < F.lit(int((share - 0.5) * 2**64)))
+    found = predict(some, names, prototypes, ["lang"]).filter(F.col("n_grams") >= LONG).agg(F.percentile("score", 0.01)).first()[0]
+    return (found or 0.0) / 2
+
+
+def in_known_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose text is in a language of its
+    labels: it has letters, and if it is long its cosine isn't below
+    ``least_cosine``.  Short texts have few trigrams and low cosines in any
+    language, so letters suffice.  Without any label all lettered texts stay."""
+    names, prototypes = learn_prototypes(docs)
+    if not names:
+        return docs.filter(docs["text"].rlike(r"\p{L}"))
+    least = least_cosine(docs, names, prototypes)
+    found = predict(docs, names, prototypes)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & ((F.col("n_grams") < LONG) | (F.col("score") >= least))).select("record.*")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = plain(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     names, prototypes = learn_prototypes(docs.filter(fold_of("doc_id", 5) != 0))
-    out = predict(docs, names, prototypes, ["doc_id"])
+    out = predict(docs, names, prototypes, ["doc_id"]).select("record.doc_id", "lang_pred", "score")
     return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")

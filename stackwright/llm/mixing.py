@@ -125,7 +125,7 @@ def mix_sources(
     document), words.  ``weights`` repeat over the sources by code point, null
     last; the targets share the total of all sizes."""
     spark = docs.sparkSession
-    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    h = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))  # rows that share an id are apart
     slim = staged(
         plain(docs, "doc_id", "source", "text").select(
             "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_REGEX)), F.lit(0)).cast("long").alias("size"), h.alias("h")
@@ -198,9 +198,9 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     passes = pieces.groupBy("sid", "part", "rn").agg(F.count_distinct("pass_no").alias("n"))
     ids = places.select("sid", "part", "rn", F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"))
     copies = ids.join(passes, ["sid", "part", "rn"]).groupBy("of_id", "of_source").agg(F.max("n").cast("int").alias("n_copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source"))
-    out = docs.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("of"))
+    out = rows.join(copies, F.col("id").eqNullSafe(F.col("of_id")) & F.col("of").eqNullSafe(F.col("of_source")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select("row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,9 @@ def test_mix_takes_targets(real, docs, nothing, block):
         assert sorted(d["size"]) == sorted(len(WORD.findall(r.text or "")) for r in df.select("text").collect())
     assert mixing.mixed_documents(nothing).count() == 0
     assert mixing.repeat_documents(nothing).columns == nothing.columns
+    odd = docs.withColumnsRenamed({"size": "copy", "h": "n_copies", "lang": "a.b"})
+    got = mixing.repeat_documents(odd)
+    assert got.columns == odd.columns and {r.copy for r in got.collect()} == {"extra"} and {r.n_copies for r in got.collect()} == {1}
 
 
 # 2
@@ -79,6 +82,13 @@ def test_chat_branches_round_trip(spark):
     assert chat.format_conversations(df, 1).count() == 3 and chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_messages_below_a_cycle_keep_their_links(spark):
+    rows = [(1, 1, 2), (1, 2, 1), (1, 3, 2), (1, 4, 3), (1, 5, 5), (2, 1, None), (2, 2, 1)]
+    made = spark.createDataFrame(rows, "tree int, node long, parent long").selectExpr("*", "0D AS score")
+    got = sorted((r.tree, r.leaf, r.node) for r in chat.root_to_leaf_paths(made, None).collect())
+    assert got == [(1, 1, 1), (1, 4, 2), (1, 4, 3), (1, 4, 4), (1, 5, 5), (2, 2, 1), (2, 2, 2)] or got == [(1, 1, 1), (1, 4, 3), (1, 4, 4), (1, 4, 2), (1, 5, 5), (2, 2, 1), (2, 2, 2)]
+
+
 # 3
 
 
@@ -104,21 +114,53 @@ def test_more_shards_only_take():
     assert max(total) - min(total) <= 101
 
 
+def test_fewer_shards_take_all_and_empty_shards_count(spark):
+    load = [5, 0, 9, 1, 7, 3, 0, 2]
+    few = sharding.SlotMap.first(4, 8).rebalanced(load).rebalanced(load, 3)
+    total = [sum(x for x, s in zip(load, few.current) if s == k) for k in range(3)]
+    assert set(few.current) <= {0, 1, 2} and sum(total) == 27 and max(total) - min(total) <= 9
+    many = sharding.SlotMap.first(16, 8).rebalanced(load)
+    again = sharding.SlotMap.load(many.frame(spark))
+    assert again.shards == 16 and again.versions == many.versions
+
+
+def test_rows_that_repeat_spread_over_shards(spark):
+    same = spark.range(2000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 200).alias("text"), F.lit(1).alias("shard"), F.lit("y").alias("virtual_slot"))
+    d = sharding.shard_documents(same, 4, 4096)[0].toPandas()
+    total = d.groupby("shard")["size"].sum()
+    assert len(d) == 2000 and len(total) == 4 and total.max() - total.min() <= 201
+    path = common.stage_path(spark, "test-shards")
+    stored = sharding.write_shards(same, path, 4, 4096)
+    got = spark.read.parquet(f"{path}/data")
+    assert stored.select("version").distinct().count() == 2 and got.count() == 2000 and got.select("record.*").columns == same.columns
+    assert got.join(stored.filter("version = 1").withColumnRenamed("shard", "want"), "virtual_slot").filter("shard <> want").count() == 0
+
+
 # 4
 
 
+def test_long_texts_in_no_language_go(spark, real):
+    rng = np.random.default_rng(4)
+    junk = [(10**6 + i, "".join(rng.choice(list("qxzjkwvXQZJ0123456789+/"), 4000)), None, "s", 4000) for i in range(3)]
+    made = real.unionByName(spark.createDataFrame(junk, real.schema))
+    kept = langid.in_known_language(made)
+    assert kept.filter("doc_id >= 1000000").count() == 0 and kept.count() == real.count()
+
+
 def test_languages_held_out(spark, real):
     # Most rows learn, the rest are held out.
     train, held = real.filter(common.fold_of("doc_id", 5) != 0), real.filter(common.fold_of("doc_id", 5) == 0)
-    d = langid.predict(held, *langid.learn_prototypes(train)).toPandas()
+    d = langid.predict(held, *langid.learn_prototypes(train)).select("record.*", "lang_pred", "score").toPandas()
     assert (d.lang == d.lang_pred).mean() > 0.95 and d.score.between(0, 1).all()
 
 
 def test_language_of_odd_rows(docs, nothing):
     model = langid.learn_prototypes(docs)
-    d = langid.predict(docs, *model).toPandas()
+    odd = docs.withColumnsRenamed({"size": "score", "h": "a.b"})
+    d = langid.predict(odd, *model).select("record.text", "lang_pred").toPandas()
     assert model[0] == ["de", "en"] and (d[d.text.fillna("").str.upper().str.lower() == d.text.fillna("").str.upper()].lang_pred == "und").all()
-    assert list(d.columns) == [*docs.columns, "lang_pred", "score"]
+    kept = langid.in_known_language(odd)
+    assert kept.columns == odd.columns and kept.filter("doc_id in (1, 5, 6, 7)").count() == 5 and kept.filter("trim(text) = '' or text is null").count() == 0
     assert set(langid.predict(docs, *langid.learn_prototypes(nothing)).toPandas().lang_pred) == {"und"}
     assert langid.predict(nothing, *model).count() == 0
 
@@ -143,7 +185,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(encoding.vocabulary_path())
-    t.encode_special_tokens = True
     return t
 
 
@@ -152,9 +193,12 @@ def test_encoder_is_the_library(tokenizer):
 
     random.seed(5)
     letters = list("ab 'sé1,\n\t  !  x\x1c")
-    texts = ["".join(random.choices(letters, k=random.randrange(0, 40))) for _ in range(5000)] + ["", " ", "  a", "<|endoftext|> a", "it's 　 x", "a\x85 b"]
+    texts = ["".join(random.choices(letters, k=random.randrange(0, 40))) for _ in range(5000)] + ["", " ", "  a", "<|endoftext|> a", "a <|endoftext|>b <|endoftext|>", "<|endoftext|", "it's 　 x", "a\x85 b"]
     encoder = encoding.Encoder(open(encoding.vocabulary_path(), encoding="utf-8").read())
     assert encoder.chunked
+    assert 50256 in list(encoder.encode(["a <|endoftext|> b"])[0])
+    plain = encoding.Encoder(open(encoding.vocabulary_path(), encoding="utf-8").read(), plain_specials=True)
+    assert 50256 not in list(plain.encode(["a <|endoftext|> b"])[0])
     for _ in range(2):
         assert [list(x) for x in encoder.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -398,10 +442,44 @@ def test_tree_sums_to_one_and_scores_by_longest_state(spark, real):
             ctx = ctx[1:]
         want += float(tree.logp[state[ctx], sym[i]])
     want += sum(float(tree.share[b]) for b in text.encode() if b != 32)
-    got, _, _ = lm.score_rows(*common.buffers(common.pa.array([text])), tree, tree.table())
+    got, *_ = lm.score_rows(*common.buffers(common.pa.array([text])), tree, tree.table())
     assert got[0] == pytest.approx(want, rel=1e-5)
 
 
+def test_word_contexts_by_brute_force(spark, monkeypatch):
+    # Every context is a candidate; scores are those of counts in plain Python.
+    monkeypatch.setattr(lm, "ANCHORS", 1)
+    said = ["the red fox ran over the red fox ran home"] * 2 + ["the red fox sat", "a b c d e f g", "the red dog", None, ""]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(2)
+    words, counts = lm.count_words(docs)
+    tree = lm.fit_tree(docs, counts)
+    table = tree.table()
+
+    def spelling(text):
+        return lm.score_rows(*common.buffers(common.pa.array([text or ""])), tree, table)
+
+    met, logp = defaultdict(Counter), {}
+    for text in said:
+        w = WORD.findall(low(text))
+        for i, p in enumerate(spelling(text)[3]):
+            if i > 1:
+                met[w[i - 2], w[i - 1]][w[i]] += 1
+                logp[w[i - 2], w[i - 1], w[i]] = p
+    total = sum(sum(c.values()) for c in met.values())
+    kept = {c for c, n in met.items() if sum(n.values()) >= 2 and sum(x * (math.log(x / sum(n.values())) - logp[*c, y] * math.log(10)) for y, x in n.items()) > 0.5 * len(n) * math.log(total)}
+    assert kept and len(kept) < len(met)
+    got = {r.doc_id: r.score for r in lm.score_documents(docs, tree, words, len(said), lm.fit_contexts(docs, tree)).collect()}
+    alone = {r.doc_id: r.score for r in lm.score_documents(docs, tree, words, len(said)).collect()}
+    for k, text in enumerate(said):
+        w, want = WORD.findall(low(text)), spelling(text)[0][0]
+        assert alone[k] == pytest.approx(want)
+        for i, p in enumerate(spelling(text)[3]):
+            if i > 1 and (c := (w[i - 2], w[i - 1])) in kept:
+                n = sum(met[c].values())
+                want += math.log10((met[c][w[i]] + lm.TREE_WEIGHT * 10**p) / (n + lm.TREE_WEIGHT)) - p
+        assert got[k] == pytest.approx(want)
+
+
 # 9
 
 
