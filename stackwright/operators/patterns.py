@@ -1,7 +1,7 @@
 """File names against patterns of blocks, such as ``Author - Title (Series)``.
 
-A name is cut into blocks once, by an Arrow UDF; the patterns are a constant
-array in the plan, so scoring is one native projection without join or shuffle.
+A name is cut into blocks by column expressions, and the patterns are a constant
+array in the plan, so a match is one native projection without join or shuffle.
 Scores are counted in tenths, as whole numbers, and divided at the end."""
 
 from __future__ import annotations
@@ -9,64 +9,65 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import _any_of
 from ..vocabulary import BLOCK_QUALIFIERS, FILE_PATTERNS, SERVICE_WORDS, TITLE_WORDS
 
-_HELD = r"«[^»]*»|\.{2,}"  # neither quoted text nor an ellipsis is cut
-_NAME_CUT = re.compile(_HELD + r"|(\s+-\s+|\.\s+(?!-)|[()])")
-_PATTERN_CUT = re.compile(_HELD + r"|(\s+-\s+|\.\s+|[()])")
-_BLOCKS = "array<struct<pos int, text string, inside boolean, before string, kind string>>"
 _SHAPE = "array<struct<idx int, pattern string, blocks array<struct<kind string, inside boolean, quoted boolean, before string>>>>"
-
-
-def cut_blocks(text: str, cut: re.Pattern = _NAME_CUT) -> list[tuple[str, bool, str | None]]:
-    """(text, inside brackets, delimiter before it) of each block."""
-    out, depth, begin, before = [], 0, 0, None
-
-    def close(end: int) -> None:
-        block = re.sub(r"\.{2,}", "...", text[begin:end].strip())
-        if block:
-            out.append((block, depth > 0, before))
-
-    for m in cut.finditer(text):
-        if m[1] is None or (depth and m[1] not in "()"):
-            continue
-        close(m.start())
-        depth = max(0, depth + {"(": 1, ")": -1}.get(m[1], 0))
-        begin, before = m.end(), m[1]
-    close(len(text))
-    return out
-
-
-def name_blocks(name: str) -> list[tuple[str, bool, str | None]]:
-    """A file name's blocks; what follows the last bracket is one block."""
-    name = (name.rstrip(".fb2") if name.endswith(".fb2") else name).strip()  # the characters, not the suffix
-    head = name.rfind(")") + 1 or len(name)
-    rest = name[head:].strip()
-    return cut_blocks(name[:head]) + ([(rest, False, ")")] if rest else [])
-
-
-def _cyrillic(word: str) -> bool:
-    return re.search("[Ѐ-ӿ]", word) is not None
-
-
-def guess_kind(block: str) -> str:
-    """What a block looks like by itself."""
-    lower, words = block.lower(), block.split()
-    if any(w in lower for w in SERVICE_WORDS):
-        counted = all(w in SERVICE_WORDS or w in BLOCK_QUALIFIERS or re.fullmatch(r"\d+", w) for w in lower.split())
-        return "service_words" if counted else "Series"
-    if re.search(r"\d+[-–—]\d+|\b\d+$|\bvol\.\s+\d+", block):
-        return "Series"
-    if not TITLE_WORDS.isdisjoint(lower.split()):
-        return "Title"
-    pair = words[:2]
-    if len(words) >= 2 and all(_cyrillic(w) and (w[0].isupper() or len(w) <= 2) for w in pair):
-        return "Author"
-    return "Author" if len(words) == 1 and len(block) >= 3 and _cyrillic(block) else "Title"
+#: A delimiter, and a piece of text up to one; quoted text and an ellipsis are never cut.
+_DELIMITER = r"\s+-\s+|\.\s+(?!-)"
+_PIECE = rf"((?:«[^»]*»|\.{{2,}}|(?!{_DELIMITER}).)*)({_DELIMITER}|$)"
+
+
+def _pieces(text: Column, before: Column) -> Column:
+    """The blocks of text outside brackets, which ``before`` comes before."""
+    ends = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(2))
+    return F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1)), lambda t, i: F.struct(t.alias("text"), F.lit(False).alias("inside"), F.when(i == 0, before).otherwise(F.get(ends, i - 1)).alias("before")))
+
+
+def blocks(name: Column) -> Column:
+    """The blocks of a name: array of (text, inside brackets, delimiter before),
+    null for null.  What follows the last bracket is one block."""
+    name = F.regexp_replace(name, r"\.fb2$", "")
+    tokens = F.regexp_extract_all(name, F.lit(r"[()]|[^()]+"), F.lit(0))
+    last = F.array_max(F.transform(tokens, lambda t, i: F.when(t == ")", i)))
+
+    def cut(token: Column, i: Column) -> Column:
+        ahead = F.slice(tokens, F.lit(1), i)
+        depth = F.size(F.filter(ahead, lambda t: t == "(")) - F.size(F.filter(ahead, lambda t: t == ")"))
+        before = F.when(i > 0, F.get(tokens, i - 1))
+        whole = lambda inside: F.array(F.struct(token.alias("text"), F.lit(inside).alias("inside"), before.alias("before")))
+        none = F.slice(whole(False), 1, 0)
+        return F.when(token.isin("(", ")"), none).when(depth > 0, whole(True)).when(i > last, whole(False)).otherwise(_pieces(token, before))
+
+    found = F.transform(F.flatten(F.transform(tokens, cut)), lambda b: F.struct(F.trim(F.regexp_replace(b["text"], r"\.{2,}", "...")).alias("text"), b["inside"].alias("inside"), b["before"].alias("before")))
+    return F.filter(found, lambda b: b["text"] != "")
+
+
+def block_kind(text: Column) -> Column:
+    """What a block looks like by itself: the first of these tests that holds.
+
+    ======================================================  =============
+    only service words, their qualifiers and numbers         service_words
+    a service word, a range, a number at the end, ``vol. n``  Series
+    a word that titles have                                   Title
+    two Cyrillic words, capital or of two letters             Author
+    one Cyrillic word                                         Author
+    anything else                                             Title
+    ======================================================  ============="""
+    low = F.lower(text)
+    words, listed = F.split(low, r"\s+"), lambda xs: F.array(*[F.lit(x) for x in sorted(xs)])
+    counted = F.forall(words, lambda w: w.rlike(r"^\d+$") | F.array_contains(listed(set(SERVICE_WORDS) | set(BLOCK_QUALIFIERS)), w))
+    served = low.rlike(_any_of(SERVICE_WORDS))
+    numbered = text.rlike(r"\d+[-–—]\d+|(?<!\w)\d+$|\bvol\.\s+\d+")
+    pair = text.rlike(r"^(?:\p{Lu}\S*[Ѐ-ӿ]\S*|[\u0410-\u042F\u0401]\S*|\S?[Ѐ-ӿ]\S?)\s+(?:\p{Lu}\S*[Ѐ-ӿ]\S*|[\u0410-\u042F\u0401]\S*|\S?[Ѐ-ӿ]\S?)(?:\s|$)")
+    alone = text.rlike(r"^\S*[Ѐ-ӿ]\S*$") & (F.char_length(text) >= 3)
+    return (
+        F.when(served & counted, "service_words").when(served | numbered, "Series")
+        .when(F.arrays_overlap(words, listed(TITLE_WORDS)), "Title").when(pair | alone, "Author").otherwise("Title")
+    )
 
 
 def pattern_kind(block: str) -> str:
@@ -82,24 +83,26 @@ def pattern_kind(block: str) -> str:
 
 
 def pattern_table(patterns: list[str]) -> list[dict]:
+    """The patterns' blocks; inside brackets they aren't cut."""
     rows = []
-    for i, p in enumerate(patterns):
-        blocks = [{"kind": pattern_kind(t), "inside": inside, "quoted": "«" in t, "before": before} for t, inside, before in cut_blocks(p, _PATTERN_CUT)]
-        rows.append({"idx": i, "pattern": p, "blocks": blocks})
+    for i, pattern in enumerate(patterns):
+        found, before, inside = [], None, False
+        for part in re.split(r"(\s+-\s+|\.\s+|[()])", pattern):
+            if inside and part not in "()":
+                found[-1]["text"] += part
+            elif re.fullmatch(r"\s+-\s+|\.\s+|[()]", part):
+                before, inside = part, part == "("
+                if inside:
+                    found.append({"text": "", "inside": True, "before": before})
+            elif part.strip():
+                found.append({"text": part.strip(), "inside": False, "before": before})
+        rows.append({"idx": i, "pattern": pattern, "blocks": [{"kind": pattern_kind(b["text"]), "inside": b["inside"], "quoted": "«" in b["text"], "before": b["before"]} for b in found]})
     return rows
 
 
-def _blocks_of_all(names: pd.Series) -> pd.Series:
-    def one(name):
-        if name is None:
-            return None
-        return [{"pos": i, "text": t, "inside": inside, "before": before, "kind": guess_kind(t)} for i, (t, inside, before) in enumerate(name_blocks(name))]
-
-    return names.map(one)
-
-
 def blocks_of(name: str) -> Column:
-    return F.pandas_udf(_blocks_of_all, _BLOCKS)(F.col(name))
+    """The name's blocks with their place and kind."""
+    return F.transform(blocks(F.col(name)), lambda b, i: F.struct(i.alias("pos"), b["text"].alias("text"), b["inside"].alias("inside"), b["before"].alias("before"), block_kind(b["text"]).alias("kind")))
 
 
 def match_patterns(df: DataFrame, name: str, patterns: list[str] = FILE_PATTERNS, known_names: list[str] = (), least: float = 0.0) -> DataFrame:

@@ -22,8 +22,16 @@ def values(spark, f, *texts):
     ("Имя. Версия 2.0 я сдаюсь... «А. Б - В» г", ["Имя", "Версия 2.0 я сдаюсь... «А. Б - В» г"]),
     ("", []),
 ])
-def test_blocks(name, blocks):
-    assert [b[0] for b in patterns.name_blocks(name)] == blocks
+def test_blocks(spark, name, blocks):
+    assert [b["text"] for b in values(spark, patterns.blocks, name)[0]] == blocks
+
+
+def test_block_details(spark):
+    got = values(spark, patterns.blocks, "А - Б. В (г. д) - е", "(а) - б", None)
+    assert [tuple(b) for b in got[0]] == [("А", False, None), ("Б", False, " - "), ("В", False, ". "), ("г. д", True, "("), ("- е", False, ")")]
+    assert [tuple(b) for b in got[1]] == [("а", True, "("), ("- б", False, ")")] and got[2] is None
+    kinds = ["весь том 3", "Солдат удачи. Тетралогия", "Меч 1-3", "Меч 4", "Война и мир", "Иванов Пётр", "Зан Ян", "Мах", "Moby Dick", "пыль дорог"]
+    assert values(spark, patterns.block_kind, *kinds) == ["service_words", "Series", "Series", "Series", "Title", "Author", "Author", "Author", "Title", "Title"]
 
 
 def test_best_pattern(spark):
