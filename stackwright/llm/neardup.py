@@ -44,7 +44,7 @@ THRESHOLD = 0.8
 TIE = 1e-9
 BANDS, ROWS = 9, 3
 SAMPLES = BANDS * ROWS
-IDF_BITS, IDF_ROWS = 18, 3
+IDF_BITS, IDF_ROWS = 16, 3
 DAMPING = 0.25
 #: Texts, and bytes of them, in a block of a bucket.
 BLOCK_TEXTS, BLOCK_BYTES = 1024, 8 << 20
@@ -109,7 +109,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["counter", "n"])
 
-    got = map_arrow(plain(docs, "text"), run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # a row a counter
+    got = map_arrow(plain(docs, "text"), run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # a row a counter
     out = np.zeros(size + 1, np.int64)
     out[got["counter"].to_numpy()] = got["n"].to_numpy()
     load = out[: 1 << IDF_BITS].sum()
@@ -179,7 +179,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """doc_id, tid (hash of the text), bands (keys), sig (16 bits of each
     sample) for every row of ``docs``; without words, bands is null."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(idf)  # 3 MB
+    shared = spark.sparkContext.broadcast(idf)  # 1 MB
     rows = plain(docs, "doc_id", "text").select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("tid"), "text")
 
     def run(batches):
