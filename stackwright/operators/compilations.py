@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..staging import cut
 from ..vocabulary import COMPILATION_WORDS, SERIES_SIZES
 
 _RANGE = r"^(\d{1,9})\s*[-–]\s*(\d{1,9})$"
@@ -89,7 +90,7 @@ def titles_inside(df: DataFrame, key: list[str], path: str, title: str, position
     return g.filter("n >= 2 AND hi - lo + 1 = n").select(*key, path, "lo", "hi")
 
 
-def merged_buckets(keys: DataFrame, rounds: int = 8) -> DataFrame:
+def merged_buckets(keys: DataFrame) -> DataFrame:
     """author, series, to_author, to_series for distinct ``keys`` (author,
     series, said: the series that metadata of the bucket name, all normalised).
 
@@ -97,11 +98,11 @@ def merged_buckets(keys: DataFrame, rounds: int = 8) -> DataFrame:
     series ends the other, not both alike; a series is only lengthened where the
     longer bucket's metadata say the shorter.  Buckets meet only under the same
     last word of the series, and each goes to the longest it may; this repeats
-    until nothing changes, each time with longer names, ``rounds`` times at most."""
+    until nothing changes.  Names only grow, up to the longest there is, so it ends."""
     words = lambda c: F.filter(F.split(F.regexp_replace(c, "[,;]", " "), r"\s+"), lambda w: w != "")
     ends = lambda a, b: (a == b) | b.endswith(F.concat(F.lit(" "), a))
     out = keys.select("author", "series", F.col("author").alias("to_author"), F.col("series").alias("to_series"), "said")
-    for _ in range(rounds):
+    while True:
         at = out.groupBy("to_author", "to_series").agg(F.array_distinct(F.flatten(F.collect_set("said"))).alias("said"))
         a = at.select(F.col("to_author").alias("a"), F.col("to_series").alias("s"), F.substring_index("to_series", " ", -1).alias("last"), F.col("said").alias("sa"))
         b = at.select(F.col("to_author").alias("b"), F.col("to_series").alias("t"), F.substring_index("to_series", " ", -1).alias("last"), F.col("said").alias("sb"))
@@ -118,18 +119,8 @@ def merged_buckets(keys: DataFrame, rounds: int = 8) -> DataFrame:
         best = best.filter("g.author <> a OR g.series <> s")
         moved = out.join(best, (F.col("to_author") == F.col("a")) & (F.col("to_series") == F.col("s")), "left")
         new = moved.select("author", "series", F.coalesce("g.author", "to_author").alias("to_author"), F.coalesce("g.series", "to_series").alias("to_series"), "said", F.col("g").isNotNull().alias("moved"))
-        new = _cut(new)
+        new = cut(new)
         out = new.drop("moved")
         if new.filter("moved").isEmpty():
             break
     return out.select("author", "series", "to_author", "to_series")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared folder that the session names."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stackwright-"))
-    return df.checkpoint()

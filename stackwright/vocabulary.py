@@ -61,3 +61,17 @@ FILE_PATTERNS = [
     "Author - Series. SubSeries (service_words)", "Author - Series. SubSeries. Title", "Author - Series. SubSeries. service_words. Title",
     "Author, Author - Series service_words. SubSeries.  Title",
 ]
+NAME_SUFFIXES = ["мл", "ст", "младший", "старший", "ср", "средний", "вл", "владелец"]
+#: Endings of two letters that surnames have, and endings of whole surnames for a late swap.
+SURNAME_ENDINGS = ["ов", "ев", "ин", "ын", "ан", "ян", "ер", "ор", "ич", "иц", "ей", "ко", "ли", "ло", "ды", "ца"]
+INNER_SURNAME_ENDINGS = ["ов", "ев", "ин", "ын", "ан", "ян", "ер", "ор", "ич", "иц"]
+SWAPPED_SURNAME_ENDINGS = ["ов", "ев", "ич", "ович", "ский", "цкий", "ова", "ева", "ина", "янь", "ень", "ань", "ш"]
+SHARED_SURNAME_ENDINGS = ["ские", "ский", "ского", "скому", "ским", "ске", "ская", "скую", "ской", "ое", "ого", "ому", "ым", "ом", "ий"]
+NON_AUTHOR_WORDS = [
+    "трилогия", "дилогия", "пенталогия", "тетралогия", "сборник", "авторский", "авторская", "авторское", "цикл", "цикла", "циклов",
+    "серия", "серии", "сборка", "компиляция", "сборки", "книг", "книга", "книги", "издание", "издания", "переиздание",
+]
+FOLDER_CATEGORY_STARTS = ["Unknown", "Various"]
+SPECIAL_SERIES = ["Шерлок Холмс. Свободные продолжения"]
+AWARD_WORDS = ["премия", "award", "prize", "лауреат", "номинант"]
+COLLECTIVE_NAMES = ["коллектив авторов", "collective authors", "various authors"]
