@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from .plans import catalogue, resolution, texts  # noqa: E402, F401  each registers its queries
+from .plans import catalogue, library, resolution, texts  # noqa: E402, F401  each registers its queries
