@@ -79,6 +79,28 @@ def logical_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"(?i)\.fb2(\.zip)?$", "")
 
 
+def like_ascii(c: Column, pattern: str) -> Column:
+    """LIKE that folds the case of ASCII letters only; '%' and '_' are wildcards
+    and nothing escapes them."""
+    low = "".join(chr(ord(ch) + 32) if "A" <= ch <= "Z" else ch for ch in pattern).replace("\\", "\\\\")
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").like(low)
+
+
+def without_author_suffix(c: Column) -> Column:
+    return F.trim(_chain(c, [(r"\s*\([^)]*\)\s*$", ""), (r"\s*\[[^\]]*\]\s*$", "")]))
+
+
+def title_of_file(stem: Column) -> Column:
+    """A file's title: without a number in front, and what follows ' - '."""
+    bare = F.regexp_replace(stem, r"^\d+[\s._-]+", "")
+    return F.trim(F.when(bare.contains(" - "), F.regexp_replace(bare, r"^.*? - ", "")).otherwise(bare))
+
+
+def ordered_union(*lists: Column) -> Column:
+    """Lists merged, sorted, each entry once."""
+    return F.array_sort(F.array_distinct(F.concat(*lists)))
+
+
 def path_depth(path: Column) -> Column:
     return F.size(F.split(F.translate(path, "\\", "/"), "/")) - 1
 
@@ -208,7 +230,7 @@ def opening_text(xml: Column, most: int = 2000) -> Column:
     section that isn't a preface, without links and notices."""
     body = F.regexp_replace(xml, r"(?is)^.*?<(?:fb:)?body(?!\s[^>]*\bname\s*=)[^>]*>", "")
     sections = F.split(body, r"(?i)(?=<(?:fb:)?section[^>]*>)")
-    title = lambda s: F.regexp_replace(F.regexp_extract(F.substring(s, 1, 420), r"(?is)<(?:fb:)?title[^>]*>(.*?)</(?:fb:)?title>", 1), "<[^>]+>", "")
+    title = lambda s: F.regexp_replace(F.regexp_extract(F.substring(F.regexp_replace(s, r"(?i)^<(?:fb:)?section[^>]*>", ""), 1, 400), r"(?is)<(?:fb:)?title[^>]*>(.*?)</(?:fb:)?title>", 1), "<[^>]+>", "")
     said = F.transform(sections, lambda s, i: F.when(s.rlike(r"(?i)^<(?:fb:)?section") & ~title(s).rlike(_PREFACE), i))
     first = F.coalesce(F.array_min(said), F.lit(0))
     text = F.array_join(F.slice(sections, first + 1, F.size(sections)), "")

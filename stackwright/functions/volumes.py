@@ -12,12 +12,14 @@ _ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 
 def strict_int(c: Column) -> Column:
     """Text that is an integer and nothing else, or null."""
-    return F.when(F.trim(c).rlike(r"^[+-]?\d{1,9}$"), F.trim(c)).try_cast("int")
+    return F.when(F.trim(c).rlike(r"^[+-]?\d+$"), F.trim(c)).try_cast("bigint")
 
 
 def leading_int(c: Column) -> Column:
     """What a lenient cast makes of text: its leading number, else 0."""
-    return F.coalesce(F.nullif(F.regexp_extract(c, r"^\s*([+-]?\d{1,9})", 1), F.lit("")).cast("int"), F.lit(0))
+    digits = F.nullif(F.regexp_extract(c, r"^\s*([+-]?\d+)", 1), F.lit(""))
+    most = F.when(digits.startswith("-"), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
+    return F.coalesce(F.when(digits.isNotNull(), F.coalesce(digits.try_cast("bigint"), most)), F.lit(0))
 
 
 def roman_to_int(c: Column) -> Column:

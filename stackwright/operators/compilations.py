@@ -13,16 +13,16 @@ from ..functions.text import fold
 from ..staging import cut
 from ..vocabulary import COMPILATION_WORDS, SERIES_SIZES
 
-_RANGE = r"^(\d{1,9})\s*[-–]\s*(\d{1,9})$"
-_BRACKETS = r"\(\s*(\d{1,9})\s*[-–]\s*(\d{1,9})\s*\)"
+_RANGE = r"^(\d+)\s*[-–]\s*(\d+)$"
+_BRACKETS = r"\(\s*(\d+)\s*[-–]\s*(\d+)\s*\)"
 
 
 def _int(c: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit("")).try_cast("bigint")
 
 
 def _kind(kind: str, lo: Column, hi: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    return F.struct(F.lit(kind).alias("kind"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
 
 
 def classify(path: Column, title: Column, series_number: Column) -> Column:
@@ -36,7 +36,7 @@ def classify(path: Column, title: Column, series_number: Column) -> Column:
     for word, n in COMPILATION_WORDS.items():
         out = out.when(both.contains(word), _kind("compilation", F.lit(1), F.lit(n)) if n else _kind("compilation", nothing, nothing))
     out = out.when(F.regexp_count(title, F.lit(r"\.\s+[А-ЯЁA-Z]")) >= 2, _kind("compilation", nothing, nothing))
-    out = out.when(number.rlike(r"^\d{1,9}$"), _kind("single", number.try_cast("int"), number.try_cast("int")))
+    out = out.when(number.rlike(r"^\d+$"), _kind("single", number.try_cast("bigint"), number.try_cast("bigint")))
     inner = _int(stem, r"[-–\s](\d{1,3})\.\s+[А-ЯЁA-Z]")
     return out.when(inner.isNotNull(), _kind("single", inner, inner)).otherwise(_kind("unknown", nothing, nothing))
 

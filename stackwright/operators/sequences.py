@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions.volumes import strict_int
 
+#: Numbers of a gap that are listed one by one.
+LISTED_GAP = 1000
+
 
 def series_gaps(df: DataFrame, least_books: int = 2) -> DataFrame:
     """author, series, have, missing: the volumes between the first and the
-    last that a series lacks."""
-    n = df.filter("author <> '' AND series <> ''").withColumn("v", strict_int(F.col("series_number")))
-    g = n.groupBy("author", "series").agg(F.count(F.lit(1)).alias("books"), F.array_sort(F.collect_set("v")).alias("have")).filter((F.col("books") >= least_books) & (F.size("have") > 0))
-    g = g.withColumn("missing", F.array_except(F.sequence(F.array_min("have"), F.array_max("have")), F.col("have"))).filter(F.size("missing") > 0)
-    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ", ")
-    return g.select("author", "series", "books", text("have").alias("have"), text("missing").alias("missing"))
+    last that a series lacks.  A blank author is one like any other.  Gaps come
+    from the next volume, not from all numbers in between; one of more than
+    ``LISTED_GAP`` numbers is shown as ``first-last``."""
+    n = df.filter("series <> ''").select(F.coalesce("author", F.lit("")).alias("author"), "series", strict_int(F.col("series_number")).alias("v"))
+    enough = n.groupBy("author", "series").agg(F.count(F.lit(1)).alias("books")).filter(F.col("books") >= least_books)
+    ahead = F.lead("v").over(Window.partitionBy("author", "series").orderBy("v")) - 1
+    steps = n.filter("v is not null").distinct().withColumn("hi", ahead).withColumn("lo", F.when(F.col("hi") > F.col("v"), F.col("v") + 1))
+    text = F.concat(F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string"))
+    each = F.array_join(F.transform(F.sequence("lo", F.when(F.col("hi") - F.col("lo") < LISTED_GAP, F.col("hi")).otherwise(F.col("lo"))), lambda x: x.cast("string")), ", ")
+    gap = F.when(F.col("lo").isNotNull(), F.struct("lo", F.when(F.col("hi") - F.col("lo") < LISTED_GAP, each).otherwise(text).alias("text")))
+    g = steps.withColumn("gap", gap).groupBy("author", "series").agg(F.array_sort(F.collect_list("v")).alias("have"), F.array_sort(F.collect_list("gap")).alias("gaps")).filter(F.size("gaps") > 0)
+    joined = lambda c, f: F.array_join(F.transform(c, f), ", ")
+    return g.join(enough, ["author", "series"]).select("author", "series", "books", joined("have", lambda x: x.cast("string")).alias("have"), joined("gaps", lambda x: x["text"]).alias("missing"))
 
 
 def keep_first(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -43,6 +53,16 @@ def covered(df: DataFrame, key: list[str], lo: str, hi: str, path: str) -> DataF
 
 
 def run_statistics(df: DataFrame, key: list[str], lo: str, hi: str) -> DataFrame:
-    numbers = F.explode(F.sequence(F.col(lo), F.col(hi)))
-    e = df.select(*key, numbers.alias("v"))
-    return e.groupBy(*key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_distinct("v").alias("n_volumes"))
+    """key, lo, hi, n_volumes: the volumes of all ranges, by the lengths of their
+    islands, so a wide range costs no more than a narrow one."""
+    islands = runs(df, key, lo, hi)
+    return islands.groupBy(*key).agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.sum(F.col(hi) - F.col(lo) + 1).alias("n_volumes"))
+
+
+def lone_first_volume(df: DataFrame, key: list[str], position: str) -> DataFrame:
+    """The only book of a group without a position is volume 1 if the others
+    begin at 2 or later."""
+    group = Window.partitionBy(*key)
+    unknown = F.count_if(F.isnull(position)).over(group)
+    first = F.isnull(position) & (unknown == 1) & (F.min(position).over(group) >= 2)
+    return df.withColumn(position, F.when(first, 1).otherwise(F.col(position)))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..vocabulary import UNKNOWN_AUTHOR
+
 
 def vote(df: DataFrame, group: list[str], value: str, first: str, pool: Column | None = None) -> DataFrame:
     """group, winner, votes, voters, n_values: the most frequent value."""
@@ -45,13 +47,16 @@ def clear_singletons(df: DataFrame, key: list[str], value: str, confirmed: Colum
     return df.join(n, key).withColumn(value, F.when((F.col("__n") == 1) & ~confirmed, "").otherwise(F.col(value))).drop("__n")
 
 
-def clear_multi_author_folders(df: DataFrame, folder: str, author: str, series: str, collective: list[str]) -> DataFrame:
-    """Clears a series that is part of the name of a folder of several authors."""
-    real = F.count_distinct(F.when(~F.col(author).isin("", *collective), F.col(author)))
+def clear_multi_author_folders(df: DataFrame, folder: str, author: str, series: str, collective: list[str], source: str | None = None) -> DataFrame:
+    """Clears a series, and its ``source``, that is part of the name of a folder
+    of several known authors; names under four letters are none."""
+    real = F.count_distinct(F.when(~F.col(author).isin("", UNKNOWN_AUTHOR, *collective), F.col(author)))
     several = df.groupBy(folder).agg(real.alias("__real"), F.bool_or(F.col(author).isin(collective)).alias("__coll"))
     mixed = (F.col("__real") > 1) | (F.col("__coll") & (F.col("__real") > 0))
-    hit = mixed & (F.col(series) != "") & F.lower(folder).contains(F.lower(series))
-    return df.join(several, folder).withColumn(series, F.when(hit, "").otherwise(F.col(series))).drop("__real", "__coll")
+    name = F.element_at(F.split(F.translate(folder, "\\", "/"), "/"), -1)
+    hit = mixed & (F.char_length(name) >= 4) & (F.col(series) != "") & F.lower(name).contains(F.lower(series))
+    cleared = {c: F.when(hit, "").otherwise(F.col(c)) for c in (series, source) if c}
+    return df.join(several, folder).withColumns(cleared).drop("__real", "__coll")
 
 
 def widen_by_subset(df: DataFrame, winners: DataFrame, group: list[str], value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import BOOKS_SQL, books, table
-from ..functions.text import slug
+from ..functions.text import like_ascii, slug
 from ..functions.volumes import leading_int, runs_text, strict_int
 from ..operators import duplicates, paths, sequences, votes
 from ..registry import query
@@ -23,12 +23,13 @@ def series_gaps(spark, sf_dir) -> DataFrame:
 
 @query("catalog_summary", BOOKS_SQL + """
 SELECT count(*) AS total, count(*) FILTER (WHERE series <> '') AS in_series, count(*) FILTER (WHERE author NOT IN ('', '[unknown]')) AS known_author,
-       count(DISTINCT author) AS authors, count(DISTINCT series) AS series_count, count(*) FILTER (WHERE series <> '') * 100.0 / count(*) AS series_percent FROM books""")
+       count(DISTINCT author) FILTER (WHERE author NOT IN ('', '[unknown]')) AS authors, count(DISTINCT series) FILTER (WHERE series <> '') AS series_count,
+       coalesce(count(*) FILTER (WHERE series <> '') * 100.0 / nullif(count(*), 0), 0) AS series_percent FROM books""")
 def catalog_summary(spark, sf_dir) -> DataFrame:
     return books(spark, sf_dir).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("series") != "").alias("in_series"), F.count_if(~F.col("author").isin("", "[unknown]")).alias("known_author"),
-        F.count_distinct("author").alias("authors"), F.count_distinct("series").alias("series_count"),
-        F.try_divide(F.count_if(F.col("series") != "") * F.lit(100.0), F.count(F.lit(1))).alias("series_percent"),
+        F.count_distinct(F.when(~F.col("author").isin("", "[unknown]"), F.col("author"))).alias("authors"), F.count_distinct(F.nullif("series", F.lit(""))).alias("series_count"),
+        F.coalesce(F.try_divide(F.count_if(F.col("series") != "") * F.lit(100.0), F.count(F.lit(1))), F.lit(0.0)).alias("series_percent"),
     )
 
 
@@ -70,11 +71,19 @@ def author_source_summary(spark, sf_dir) -> DataFrame:
 
 
 @query("search_like", BOOKS_SQL + """
-SELECT id, author, series, series_number, title FROM books WHERE author LIKE '%Brand#1%' AND title LIKE '%ring%'
+SELECT id, author, series, series_number, title FROM books WHERE author ILIKE '%bRAND#_%' AND title ILIKE '%r%ng%'
 ORDER BY author, series, CAST(NULLIF(series_number, '') AS INTEGER) NULLS FIRST, title, id LIMIT 2000""")
 def search_like(spark, sf_dir) -> DataFrame:
-    hit = books(spark, sf_dir).filter(F.col("author").contains("Brand#1") & F.col("title").contains("ring"))
-    return hit.orderBy("author", "series", F.asc_nulls_first(leading_int(F.nullif("series_number", F.lit("")))), "title", "id").select("id", "author", "series", "series_number", "title").limit(2000)
+    return search(books(spark, sf_dir), author="bRAND#_", title="r%ng")
+
+
+def search(df: DataFrame, most: int = 2000, **patterns: str) -> DataFrame:
+    """The rows whose columns hold the given texts (wildcards and all), in the
+    order of a shelf, ``most`` of them."""
+    for column, text in patterns.items():
+        if text:
+            df = df.filter(like_ascii(F.col(column), f"%{text}%"))
+    return df.orderBy("author", "series", F.asc_nulls_first(leading_int(F.nullif("series_number", F.lit("")))), "title", "id").select("id", "author", "series", "series_number", "title").limit(most)
 
 
 @query("any_column_filter", BOOKS_SQL + """

@@ -17,16 +17,36 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{fb2,fb2.zip}").load(folder)
 
 
+def count_books(spark: SparkSession, folder: str) -> int:
+    """How many books lie below a folder; their contents aren't read."""
+    return scan(spark, folder).select("path").count()
+
+
+def has_books(spark: SparkSession, folder: str) -> bool:
+    return not scan(spark, folder).select("path").limit(1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A written list of records; blanks are '', as in the list."""
+    got = spark.read.option("header", True).csv(path)
+    return got.fillna("")
+
+
 def unzipped(raw: bytes) -> bytes:
-    """The book in a zip container, or the bytes as they are."""
-    if raw[:4] != b"PK\x03\x04":
+    """The book in a zip container: its first book, else its first member.  What
+    is none, or can't be read, stays as it is."""
+    if raw[:2] != b"PK":
         return raw
     import io
     import zipfile
+    import zlib
 
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        names = z.namelist()
-        return z.read(next((n for n in names if n.lower().endswith(".fb2")), names[0])) if names else b""
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            names = z.namelist()
+            return z.read(next((n for n in names if n.lower().endswith(".fb2")), names[0])) if names else raw
+    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError):
+        return raw
 
 
 def decoded(raw: bytes) -> str:
