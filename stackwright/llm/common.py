@@ -22,6 +22,7 @@ WORD_REGEX = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 #: Bytes in the Arrow batches that workers get (one longer row makes a batch).
 BATCH_BYTES = str(4 << 20)
+TIDY_BYTES = 32 << 20
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -94,9 +95,16 @@ def working_on(operator: str) -> None:
     tidy()
 
 
-def tidy() -> None:
+def tidy(after: int = 0) -> None:
     """Gives memory that is free back to the machine, which a worker's two
-    allocators would hold."""
+    allocators would hold.  With ``after``, bytes just worked on, only once so
+    many as ``TIDY_BYTES`` have come together: what is given back must be got again."""
+    if after:
+        store = _store()
+        store["worked"] = store.get("worked", 0) + after
+        if store["worked"] < TIDY_BYTES:
+            return
+        store["worked"] = 0
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL(None).malloc_trim(0)

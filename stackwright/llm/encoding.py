@@ -27,10 +27,10 @@ from .common import kept_in_worker, span_hash
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that are encoded together.
-SLICE = 1 << 20
+SLICE = 1 << 21
 #: Chunks and pieces that a worker remembers, about 25 bytes and 150 bytes each.
 #: What it has forgotten it encodes again, so they trade memory for time only.
-CHUNKS, PIECES = 1_500_000, 300_000
+CHUNKS, PIECES = 2_500_000, 500_000
 #: Ids of chunks that a worker remembers (2 or 4 bytes each).
 IDS = 1 << 24
 #: How byte-level BPE files split a text.

@@ -198,7 +198,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(has, x.shape[1], 0))]).astype(np.int32)), pa.array(x[has].ravel()))
                 sig = (got >> np.uint64(48)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("tid").slice(i, j - i), lists(key.view(np.int64)), lists(sig)], names=["doc_id", "tid", "bands", "sig"])
-            tidy()
+            tidy(batch.nbytes)
 
     schema = rows.select("doc_id", "tid").schema.add("bands", pa_list("long")).add("sig", pa_list("integer"))
     return staged(map_arrow(rows, run, schema), "neardup-sketches")

@@ -34,7 +34,7 @@ def length_histogram(docs: DataFrame, tokenizer_path: str | None = None) -> Data
         for batch in batches:
             for _, _, data, offsets in slices(*buffers(batch.column("text")), most=SLICE):
                 seen.update(encoder.encode_rows(data, offsets)[1].tolist())
-            tidy()
+            tidy(batch.nbytes)
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(seen.keys(), pa.int64()), "docs": pa.array(seen.values(), pa.int64())})
 
     return staged(map_arrow(plain(docs, "text"), count, "n_tokens long, docs long").groupBy("n_tokens").agg(F.sum("docs").alias("docs")), "token-lengths")

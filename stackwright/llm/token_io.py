@@ -52,7 +52,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str | None = Non
                     [batch.column("doc_id").slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(before), pa.array(n), lists], names=["doc_id", "part", "at", "n_tokens", "ids"]
                 )
                 at += int(n.sum())
-            tidy()
+            tidy(batch.nbytes)
 
     rows = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     key = [F.col("doc_id"), F.xxhash64("text")]  # rows of one id may be dealt to several files
