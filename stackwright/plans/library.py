@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from ..catalog import table
 from ..functions import people as N
-from ..operators import authors, consensus
+from ..functions import series as S
+from ..operators import authors, consensus, series, sequences
+from ..operators import paths as P
 from ..registry import query
+from ..sources import maintenance
 
 SURNAMES = ["Сомов", "Ершов", "Карпов", "Щукин", "Окунев"]
 GIVEN = ["Антон", "Борис", "Виктор", "Глеб", "Денис"]
@@ -157,3 +160,104 @@ def series_author_consensus(spark, sf_dir) -> DataFrame:
     author = F.when(k % 5 == 0, F.split_part("p_name", F.lit(" "), F.lit(2))).otherwise(F.col("p_name"))
     rows = authors.records(p.select(F.lpad(k.cast("string"), 9, "0").alias("file_path"), author.alias("proposed_author"), F.lit("metadata").alias("author_source"), F.col("p_type").alias("proposed_series")))
     return consensus.series_author_consensus(rows).select("file_path", "proposed_author", "author_source")
+
+
+@query("series_resolution", LIBRARY_SQL + """
+SELECT file_path, CASE WHEN kind <= 1 THEN split_part(cycle, ' ', 1) WHEN kind = 2 THEN split_part(cycle, ' ', 1) ELSE '' END AS proposed_series,
+       CASE WHEN kind <= 1 THEN 'filename' WHEN kind = 2 THEN 'metadata' ELSE '' END AS series_source FROM library WHERE kind <= 2""")
+def series_resolution(spark, sf_dir) -> DataFrame:
+    """Files with their series in brackets, and files whose metadata name it."""
+    rows = library(spark, sf_dir).filter("author_source = '' AND metadata_authors NOT LIKE '%;%'")
+    bare = rows.withColumns({"metadata_series": F.when(F.col("file_path").contains("("), "").otherwise(F.col("proposed_series")), "proposed_series": F.lit("")})
+    return series.normalise_series(series.series_from_file_names(authors.records(bare), LISTED)).select("file_path", "proposed_series", "series_source")
+
+
+LEVELS = [
+    ("Сид 1. Принцип талиона 1. Геката 1", "Сид\\Принцип талиона\\Геката"), ("Дракон 1-3", "Дракон"), ("Мир Вечного 2. Вечный. Тетралогия", "Мир Вечного\\Вечный"), ("О. Р. З.", ""),
+]
+CLEAN = [("Солдат удачи 3. Взор Тьмы", "Солдат удачи"), ("«СССР-2023» 2", "СССР-2023"), ("Странник (Серия 3)", "Странник"), ("Цивилизация 2.0", "Цивилизация 2.0"), ("Сага №5", "Сага")]
+NORMAL = [
+    ("Тёмный  век", "Темный век"), ("Байши Сюсянь: Песнь", "Песнь"), ("Пастух[Кросс]", "Пастух"), ("Дракон (Трофимов)", "Дракон"), ("Отряд «Сигма» 07+", "Отряд «Сигма»"), ("Война 1941", "Война 1941"),
+    ("Цикл «Солдат удачи»", "Солдат удачи"), ("Пророчество (т", "Пророчество"), ("Война (1-3)", "Война"),
+]
+TOLD = [
+    ("[Метро] Туннель", "Метро"), ("Курилкин. Охотник 1", "Охотник"), ("Яманов. Бесноватый Цесаревич I", "Бесноватый Цесаревич"), ("Атаманов Михаил - Задача выжить 1", "Задача выжить"),
+    ("Тидхар Леви - Центральная станция 2. Неом", "Центральная станция"), ("Земляной Андрей - Отморозки. Другим путем", "Отморозки"), ("Белоус", ""),
+]
+VALID = [("Солдат удачи", "true"), ("Детектив Джейкоб Лев", "true"), ("Том Риддл", "true"), ("Литературная премия «Буква – 2019»", "false"), (".45", "false"), ("том 1", "false"), ("Сборник рассказов", "false"), ("фантастика", "false")]
+
+
+def _golden(name: str, rows: list[tuple[str, str]], function) -> None:
+    def run(spark, sf_dir) -> DataFrame:
+        return spark.createDataFrame([(a,) for a, _ in rows], "said string").select("said", function(F.col("said")).cast("string").alias("result"))
+
+    query(name, _values(rows, "said, result"))(run)
+
+
+_golden("series_levels", LEVELS, S.levels)
+_golden("series_cleaned", CLEAN, S.clean)
+_golden("series_normal", NORMAL, S.normal)
+_golden("series_told", TOLD, S.told_by_name)
+_golden("series_valid", VALID, S.is_series)
+
+
+@query("empty_folders", """
+SELECT n_name AS folder FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)""")
+def empty_folders(spark, sf_dir) -> DataFrame:
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer").filter("c_acctbal > 9000")
+    files = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.concat("n_name", F.lit("/"), "c_name").alias("file_path"))
+    return P.empty_folders(n.select(F.col("n_name").alias("folder")), files, "file_path")
+
+
+@query("below_folders", "SELECT p_partkey FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')")
+def below_folders(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit("\\"), "p_type", F.lit("/"), F.col("p_partkey").cast("string")).alias("file_path"))
+    return P.below_any(p, spark.createDataFrame([("Brand#1",), ("Brand#2",)], "folder string"), "file_path").select("p_partkey")
+
+
+_CACHE_SQL = "WITH c AS (SELECT o_orderkey, o_orderstatus AS parser, epoch(CAST(o_orderdate AS DATE)) AS cached_at FROM orders) "
+
+
+def _cache(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("parser"), (F.date_diff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")) * 86_400.0).alias("cached_at"))
+
+
+@query("purged_cache", _CACHE_SQL + "SELECT o_orderkey FROM c WHERE parser = 'F' AND cached_at >= 800000000")
+def purged_cache(spark, sf_dir) -> DataFrame:
+    return maintenance.purged(_cache(spark, sf_dir), "F", 800_000_000.0).select("o_orderkey")
+
+
+@query("cache_statistics", _CACHE_SQL + "SELECT count(*) AS total, count(*) FILTER (WHERE cached_at > 800000000 - 86400) AS last_day FROM c")
+def cache_statistics(spark, sf_dir) -> DataFrame:
+    return maintenance.cache_statistics(_cache(spark, sf_dir), 800_000_000.0)
+
+
+@query("lone_first_volumes", """WITH r AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END AS p FROM part)
+SELECT p_partkey, CASE WHEN p IS NULL AND count(*) FILTER (WHERE p IS NULL) OVER w = 1 AND min(p) OVER w >= 2 THEN 1 ELSE p END AS position FROM r WINDOW w AS (PARTITION BY p_brand)""")
+def lone_first_volumes(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 9 != 0, F.col("p_size")).alias("position"))
+    return sequences.lone_first_volume(p, ["p_brand"], "position").select("p_partkey", "position")
+
+
+@query("vote_pages", """
+SELECT p_partkey, '/b/' || p_partkey || '.shtml' AS link, p_name AS title, p_size / 10.0::DOUBLE AS rating, CAST(p_size AS BIGINT) AS votes FROM part""")
+def vote_pages(spark, sf_dir) -> DataFrame:
+    html = F.concat(
+        F.lit('<ul><li><a href="/b/'), F.col("p_partkey").cast("string"), F.lit('.shtml"><b>'), "p_name", F.lit("</b></a> &nbsp; <b>"), F.format_string("%.1f", F.col("p_size") / 10), F.lit("*"), F.col("p_size").cast("string"),
+        F.lit("</b></li></ul>"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(maintenance.vote_pages(html)).alias("v"))
+    return rows.select("p_partkey", "v.*")
+
+
+@query("work_ratings", "SELECT event_id, CAST(event_id % 100 AS BIGINT) AS work_id, event_type AS name, CAST(event_id % 10 AS DOUBLE) AS rating FROM events")
+def work_ratings(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    answer = F.to_json(F.struct(F.array(F.struct((F.col("event_id") % 100).alias("work_id"), F.col("event_type").alias("name"), F.struct((F.col("event_id") % 10).cast("double").alias("rating")).alias("rating"))).alias("works")))
+    return e.select("event_id", F.explode(maintenance.work_ratings(answer)).alias("w")).select("event_id", "w.work_id", "w.name", F.col("w.rating.rating").alias("rating"))
+
+
+@query("patched_tags", """
+SELECT p_partkey, '<title-info><book-title>' || p_type || '</book-title><sequence name="' || p_brand || '" number="' || p_size || '"/></title-info><p>' || p_name || '</p>' AS text FROM part""")
+def patched_tags(spark, sf_dir) -> DataFrame:
+    xml = F.concat(F.lit('<title-info><book-title>'), "p_name", F.lit('</book-title><sequence name="x"/></title-info><p>'), "p_name", F.lit("</p>"))
+    return table(spark, sf_dir, "part").select("p_partkey", maintenance.patched(xml, F.col("p_type"), F.col("p_brand"), F.col("p_size").cast("string")).alias("text"))

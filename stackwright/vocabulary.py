@@ -75,3 +75,5 @@ FOLDER_CATEGORY_STARTS = ["Unknown", "Various"]
 SPECIAL_SERIES = ["Шерлок Холмс. Свободные продолжения"]
 AWARD_WORDS = ["премия", "award", "prize", "лауреат", "номинант"]
 COLLECTIVE_NAMES = ["коллектив авторов", "collective authors", "various authors"]
+#: What ends the levels of a series in brackets.
+LEVEL_ENDS = ["дилогия", "трилогия", "тетралогия", "пентагония", "внецикл", "дополнение", "прелюдия", "эпилог"]
