@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..catalog import table
 from ..functions import people as N
 from ..functions import series as S
-from ..operators import authors, consensus, series, sequences
+from ..operators import authors, consensus, groups, sequences, series
 from ..operators import paths as P
 from ..registry import query
 from ..sources import maintenance
@@ -261,3 +261,28 @@ SELECT p_partkey, '<title-info><book-title>' || p_type || '</book-title><sequenc
 def patched_tags(spark, sf_dir) -> DataFrame:
     xml = F.concat(F.lit('<title-info><book-title>'), "p_name", F.lit('</book-title><sequence name="x"/></title-info><p>'), "p_name", F.lit("</p>"))
     return table(spark, sf_dir, "part").select("p_partkey", maintenance.patched(xml, F.col("p_type"), F.col("p_brand"), F.col("p_size").cast("string")).alias("text"))
+
+
+@query("volume_groups", """WITH b AS (
+  SELECT p_partkey, p_brand AS author, p_type AS series, p_name || ' ' || p_partkey AS title, CAST(p_size AS BIGINT) AS n, p_brand || '/' || p_type || '/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '.fb2' AS path FROM part),
+k AS (SELECT *, row_number() OVER (PARTITION BY author, series, n ORDER BY path) AS rn FROM b),
+i AS (SELECT author, series, n, n - row_number() OVER (PARTITION BY author, series ORDER BY n) AS run FROM k WHERE rn = 1),
+g AS (SELECT author, series, count(*) AS n_books, min(n) AS lo, max(n) AS hi FROM i GROUP BY author, series, run HAVING count(*) >= 2),
+d AS (SELECT author, series, count(*) AS n_dropped FROM k WHERE rn > 1 GROUP BY author, series)
+SELECT author, series, n_books, lo || '-' || hi AS volumes, coalesce(n_dropped, 0) AS n_dropped, lo = 1 AS complete FROM g LEFT JOIN d USING (author, series)""")
+def volume_groups(spark, sf_dir) -> DataFrame:
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    books = p.select(
+        F.col("p_brand").alias("author"), F.col("p_type").alias("series"), F.concat_ws(" ", "p_name", key).alias("title"), F.col("p_size").cast("string").alias("series_number"),
+        F.concat("p_brand", F.lit("/"), "p_type", F.lit("/"), F.lpad(key, 9, "0"), F.lit(".fb2")).alias("file_path"))
+    return groups.volume_groups(books).select("author", "series", "n_books", "volumes", F.size("dropped").cast("long").alias("n_dropped"), "complete")
+
+
+@query("book_sections", """
+SELECT p_partkey, 'Том ' || p_size AS title, CAST(p_size AS INTEGER) AS volume, '<section><title>Том ' || p_size || '</title><section>' || p_name || '</section></section>' AS text FROM part
+UNION ALL SELECT p_partkey, '', NULL, '<section>' || p_type || '</section>' FROM part""")
+def book_sections(spark, sf_dir) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    xml = F.concat(
+        F.lit("<body>x<section><title>Том "), size, F.lit("</title><section>"), "p_name", F.lit("</section></section> y <section>"), "p_type", F.lit("</section></body><binary>z</binary>"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(groups.sections(xml)).alias("s")).select("p_partkey", "s.title", "s.volume", "s.text")
