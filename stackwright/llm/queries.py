@@ -6,7 +6,7 @@ accuracy in ``tests/llm``."""
 from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat_format
-from .decontam import op9_decontaminate
+from .decontam import OP9_SQL, op9_decontaminate
 from .langid import op4_language_id
 from .lm import op8_lm_scores
 from .mixing import op1_mix_sources
@@ -23,4 +23,4 @@ QUERIES = {
         op6_near_duplicates, op7_quality_rules, op8_lm_scores, op9_decontaminate, op10_token_ids,
     )
 }
-ORACLE_SQL = {"op2_chat_format": OP2_SQL}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op9_decontaminate": OP9_SQL}

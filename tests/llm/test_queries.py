@@ -4,13 +4,14 @@ tables, and all of them and the pipeline on odd and on empty tables."""
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_operators import WORD, brute_counts, low
 
 from stackwright.llm import encoding, mixing
-from stackwright.llm.queries import QUERIES
+from stackwright.llm.queries import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -101,6 +102,15 @@ def test_op8_base_scores(spark, sf, texts):
     assert set(got) == set(texts)
 
 
+def test_op9_matches_sql(spark, sf):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(ORACLE_SQL["op9_decontaminate"])
+    got = QUERIES["op9_decontaminate"](spark, sf).select(*want.columns)
+    assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+
+
 @pytest.fixture(scope="module")
 def odd(spark, docs, tmp_path_factory):
     """Folders of odd and of empty tables, with columns that clash with the operators' own."""
