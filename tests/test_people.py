@@ -30,7 +30,7 @@ def test_name_parts(parsed, name, parts):
 
 def test_normal_names(spark):
     assert values(spark, lambda c: N.normal_name(c, GIVEN), "Коллектив авторов", "Иван Петров", "12") == ["Сборник", "Петров Иван", ""]
-    assert values(spark, lambda c: N.name_completeness(c, GIVEN), "Иван Петров", "12", "Петров Иван Ильич") == [2, 0, 3]
+    assert values(spark, lambda c: N.name_completeness(c, GIVEN), "Иван Петров", "12", "Петров Иван Сергеевич") == [2, 0, 3]
 
 
 def test_normal_authors(spark):
