@@ -68,10 +68,11 @@ def widen_by_subset(df: DataFrame, winners: DataFrame, group: list[str], value:
 
 def longest_with_suffix(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """group, value, longest: the longest value of the group that ends with
-    it.  Distinct values only meet within their group."""
+    it.  Ends are exploded, so values meet by equality and not in pairs."""
     v = df.filter(F.col(value) != "").select(*group, value).distinct()
-    o = v.withColumnRenamed(value, "other")
-    return v.join(o, group).filter(F.col("other").endswith(F.col(value))).groupBy(*group, value).agg(F.max(F.struct(F.char_length("other").alias("n"), F.col("other"))).alias("m")).select(*group, value, F.col("m.other").alias("longest"))
+    ends = F.transform(F.sequence(F.lit(1), F.char_length(value)), lambda i: F.substr(F.col(value), i))
+    best = v.select(*group, F.col(value).alias("__other"), F.explode(ends).alias("__end")).groupBy(*group, "__end").agg(F.max(F.struct(F.char_length("__other").alias("n"), F.col("__other").alias("other"))).alias("m"))
+    return v.join(best.withColumnRenamed("__end", value), [*group, value]).select(*group, value, F.col("m.other").alias("longest"))
 
 
 def confirmed_phrases(df: DataFrame, group: list[str], stem: str, evidence: str, least_words: int = 2, least_rows: int = 2) -> DataFrame:
