@@ -42,14 +42,58 @@ def runs(df: DataFrame, key: list[str], lo: str, hi: str) -> DataFrame:
     return out.groupBy(*key, "run").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
+def _segments(first: Column, last: Column) -> Column:
+    """array of struct(level, at): the aligned blocks of 2 ** level places that
+    make up the places ``first`` to ``last``, at most two of each level."""
+    levels = F.sequence(F.lit(0), F.floor(F.log2((last - first + 1).cast("double"))).cast("int"))
+
+    def at(level):
+        # What the levels below leave: from the first block that begins in the run to the last that ends in it.
+        size = F.pow(F.lit(2.0), level)
+        lo, hi = F.ceil(first / size).cast("long"), F.floor((last + 1) / size).cast("long") - 1
+        one = F.struct(level.cast("int").alias("level"), lo.alias("at"))
+        two = F.struct(level.cast("int").alias("level"), hi.alias("at"))
+        left, right = (lo % 2 != 0) & (lo <= hi), (hi % 2 == 0) & (lo <= hi)
+        return F.filter(F.array(F.when(left, one), F.when(right, two)), lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(levels, at))
+
+
 def covered(df: DataFrame, key: list[str], lo: str, hi: str, path: str) -> DataFrame:
-    """key, path, keeper, state: ranges that another one of their key holds
-    (the widest, then first by path, keeps)."""
-    o = df.select(*key, F.col(lo).alias("olo"), F.col(hi).alias("ohi"), F.col(path).alias("keeper"))
-    wider = (F.col("ohi") - F.col("olo") > F.col(hi) - F.col(lo)) | ((F.col("ohi") - F.col("olo") == F.col(hi) - F.col(lo)) & (F.col("keeper") < F.col(path)))
-    j = df.join(o, key).filter((F.col("olo") <= F.col(lo)) & (F.col("ohi") >= F.col(hi)) & wider)
-    best = F.max_by("keeper", F.struct(F.col("ohi") - F.col("olo"), F.col("keeper")))
-    return j.groupBy(*key, path).agg(best.alias("keeper"))
+    """key, path, keeper: ranges that another one of their key holds (of the
+    widest, the last by path keeps; an equal range keeps from an earlier path).
+
+    Members are never paired.  Only ranges that no other holds can keep a
+    narrower one; in the order of their starts they are in that of their ends
+    too, so those that hold a range are neighbours, found by two running counts.
+    The widest of them comes from aligned blocks of neighbours, so rows grow with
+    the ranges times a logarithm."""
+    k = [f"__k{i}" for i in range(len(key))]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(key, k)], F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"), F.col(path).alias("path"))
+    rows = rows.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*k, "lo", "hi"]))
+    # The places of a key's ranges by their starts; the widest of a start holds its others.
+    ranges = rows.groupBy(*k, "lo", "hi").agg(F.max("path").alias("last"))
+    by_lo = Window.partitionBy(*k).orderBy("lo", F.desc("hi"))
+    before = F.max("hi").over(by_lo.rowsBetween(Window.unboundedPreceding, -1))
+    marked = ranges.withColumn("top", before.isNull() | (F.col("hi") > before))
+    to = F.count_if("top").over(by_lo.rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumn("to", to)
+    # Tops that end before: their count is the place of the first that doesn't.
+    by_hi = Window.partitionBy(*k).orderBy("hi").rangeBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumn("from", F.coalesce(F.count_if("top").over(by_hi), F.lit(0)))
+    marked = marked.withColumn("n", F.count_if("top").over(Window.partitionBy(*k)))
+    best = F.max(F.struct((F.col("hi") - F.col("lo")).alias("width"), F.col("last").alias("keeper"))).alias("best")
+    place, top_level = F.col("to") - 1, F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    blocks = marked.filter("top").select(*k, "lo", "hi", "last", place.alias("place"), F.explode(F.sequence(F.lit(0), top_level)).alias("level"))
+    blocks = blocks.withColumn("at", F.floor(F.col("place") / F.pow(F.lit(2.0), "level")).cast("long")).groupBy(*k, "level", "at").agg(best)
+    inner = marked.filter("NOT top").select(*k, "lo", "hi", F.explode(_segments(F.col("from"), F.col("to") - 1)).alias("s"))
+    wider = inner.select(*k, "lo", "hi", "s.level", "s.at").join(blocks, [*k, "level", "at"]).groupBy(*k, "lo", "hi").agg(F.max("best").alias("best"))
+    # An earlier path of the same range, where no wider one holds it.
+    own = rows.distinct().withColumn("earlier", F.lag("path").over(Window.partitionBy(*k, "lo", "hi").orderBy(F.asc_nulls_first("path"))))
+    same = F.when(F.col("earlier").isNotNull(), F.struct((F.col("hi") - F.col("lo")).alias("width"), F.col("earlier").alias("keeper")))
+    found = own.join(wider, [*k, "lo", "hi"], "left").withColumn("best", F.coalesce("best", same)).filter("best IS NOT NULL")
+    out = found.groupBy(*k, "path").agg(F.max("best").alias("best"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(key, k)], F.col("path").alias(path), F.col("best.keeper").alias("keeper"))
 
 
 def run_statistics(df: DataFrame, key: list[str], lo: str, hi: str) -> DataFrame:

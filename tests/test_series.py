@@ -1,8 +1,11 @@
 """Series names, series by file name, maintenance and parsers on small cases."""
 
 import io
+import random
+import time
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 from test_resolution import values
 
@@ -114,3 +117,37 @@ def test_tags_answers_and_functions(spark):
     assert [tuple(x) for x in values(spark, maintenance.vote_pages, '<li><a href="/a/b.shtml"><b>Title</b></a> <b>7.50*12</b></li>')[0]] == [("/a/b.shtml", "Title", 7.5, 12)]
     maintenance.register_functions(spark)
     assert tuple(spark.sql("SELECT series_base('Охотник 1'), series_base('Фэндом-3'), series_base('Метро 2.0'), name_key('Ёж'), file_stem('a/b.fb2.zip')").first()) == ("Охотник", "Фэндом", "Метро 2.0", "еж", "b")
+
+
+def _covered(rows):
+    """path: keeper by comparing all members, as the SQL does."""
+    out = {}
+    for a, s, lo, hi, path in rows:
+        held = [
+            (ohi - olo, keeper) for b, t, olo, ohi, keeper in rows
+            if (a, s) == (b, t) and None not in (a, s) and olo <= lo and ohi >= hi and (ohi - olo > hi - lo or (ohi - olo == hi - lo and keeper < path))
+        ]
+        if held:
+            out[a, s, path] = max([*held, *([out[a, s, path]] if (a, s, path) in out else [])])
+    return {k: v[1] for k, v in out.items()}
+
+
+@pytest.mark.parametrize("most,widest", [(12, 4), (60, 60), (400, 30)])
+def test_covered_by_brute_force(spark, most, widest):
+    r = random.Random(most)
+    rows = [(r.choice(["A", "B", None]), r.choice("xy"), lo := r.randint(-3, most), lo + r.randint(0, widest), f"p{r.randint(0, 500):03}") for _ in range(600)]
+    rows += [("C", "x", i, i + most, f"q{i:03}") for i in range(64)] + [("C", "x", 30, 40, "in"), ("C", "x", 0, 0, "first"), ("C", "x", 63, 63 + most, "same")]
+    df = spark.createDataFrame(rows, "author string, series string, lo int, hi int, path string")
+    got = sequences.covered(df, ["author", "series"], "lo", "hi", "path").collect()
+    assert {(x.author, x.series, x.path): x.keeper for x in got} == _covered(rows)
+    assert len(got) == len({(x.author, x.series, x.path) for x in got})
+
+
+def test_covered_makes_no_pairs(spark):
+    """20,000 equal and 20,000 nested ranges of one key have 400 million pairs."""
+    same = spark.range(20_000).selectExpr("'A' AS a", "5 AS lo", "9 AS hi", "format_string('s%05d', id) AS path")
+    nested = spark.range(20_000).selectExpr("'A' AS a", "CAST(100 + id AS INT) AS lo", "CAST(60000 - id AS INT) AS hi", "format_string('n%05d', id) AS path")
+    began = time.time()
+    got = {r.path: r.keeper for r in sequences.covered(same.union(nested), ["a"], "lo", "hi", "path").collect()}
+    assert time.time() - began < 30
+    assert got == {f"s{i:05}": f"s{i - 1:05}" for i in range(1, 20_000)} | {f"n{i:05}": "n00000" for i in range(1, 20_000)}
