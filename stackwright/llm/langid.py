@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, fold_of, kept_in_worker, map_arrow, mix64, plain, slices, table, working_on
+from .common import buffers, discard, fold_of, kept_in_worker, map_arrow, mix64, plain, slices, staged, table, working_on
 
 DIMENSIONS = 1024
 CLASSES = 256
 UNKNOWN = "und"
-#: Labelled rows that fit the least cosine, and the trigrams from which it holds.
-FIT_ROWS, LONG = 20_000, 200
+#: The trigrams from which the least cosine holds.
+LONG = 200
 _SLICE = 1 << 20
 
 
@@ -172,14 +172,40 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, keep: lis
     return map_arrow(rows, label, out_schema)
 
 
-def least_cosine(docs: DataFrame, names: list[str], prototypes: np.ndarray, rows: int = FIT_ROWS) -> float:
+def exact_percentile(values: DataFrame, column: str, share: float, bins: int = 1 << 16) -> float | None:
+    """What ``percentile`` gives, null for no rows, with at most ``bins`` counts
+    in one place however many values there are: counts of equal bins of values
+    are narrowed to the one that holds the rank sought.  Reads ``values`` a few times."""
+    v = values.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
+    all_ = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not all_.n:
+        return None
+
+    def at(rank):
+        lo, hi, left = all_.lo, all_.hi, rank
+        while lo < hi:
+            cell = F.floor((F.col("v") - lo) / (hi - lo) * float(bins - 1))
+            by = v.filter(F.col("v").between(lo, hi)).groupBy(cell.alias("cell")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy("cell")
+            for r in by.collect():  # ``bins`` rows at most
+                if left < r.n:
+                    lo, hi = r.lo, r.hi
+                    break
+                left -= r.n
+        return lo
+
+    place = share * (all_.n - 1)
+    low = int(place)
+    return at(low) if place == low else (low + 1 - place) * at(low) + (place - low) * at(low + 1)
+
+
+def least_cosine(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> float:
     """The cosine below which a text of ``LONG`` trigrams or more is in no known
     language: half of what all but one in a hundred labelled texts of that
-    length reach.  It is fitted on about ``rows`` labelled rows in hash order."""
-    known = plain(docs, "text", "lang").filter("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
-    share = rows / max(1, known.count())
-    some = known if share >= 1 else known.filter(F.col("h") < F.lit(int((share - 0.5) * 2**64)))
-    found = predict(some, names, prototypes, ["lang"]).filter(F.col("n_grams") >= LONG).agg(F.percentile("score", 0.01)).first()[0]
+    length reach.  All labelled rows count."""
+    known = plain(docs, "text", "lang").filter("text is not null and lang is not null")
+    scores = staged(predict(known, names, prototypes, ["lang"]).filter(F.col("n_grams") >= LONG).select("score"), "langid-scores")
+    found = exact_percentile(scores, "score", 0.01)
+    discard(scores)
     return (found or 0.0) / 2
 
 

@@ -147,6 +147,27 @@ def test_long_texts_in_no_language_go(spark, real):
     assert kept.filter("doc_id >= 1000000").count() == 0 and kept.count() == real.count()
 
 
+def test_least_cosine_counts_all_labelled_texts(spark):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(1500)]
+    df = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").crossJoin(spark.range(20)).selectExpr("concat(text, repeat(' qx', id * 3)) AS text", "lang")
+    model = langid.learn_prototypes(df)
+    d = langid.predict(df, *model).toPandas()
+    long = d[d.n_grams >= langid.LONG].score
+    assert len(long) == 30_000
+    assert langid.least_cosine(df, *model) == pytest.approx(np.percentile(long, 1) / 2, abs=1e-7)
+
+
+@pytest.mark.parametrize("bins", [7, 1 << 16])
+def test_exact_percentile(spark, bins):
+    rng = np.random.default_rng(bins)
+    for values in ([], [0.25], [0.5] * 300, [*rng.random(2), None], [*np.repeat(rng.random(9), 7), *(1e-300 * rng.random(40)), 0.0]):
+        df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+        for share in (0.01, 0.37):
+            assert langid.exact_percentile(df, "v", share, bins) == df.agg(F.percentile("v", share)).first()[0]
+
+
 def test_languages_held_out(spark, real):
     # Most rows learn, the rest are held out.
     train, held = real.filter(common.fold_of("doc_id", 5) != 0), real.filter(common.fold_of("doc_id", 5) == 0)
