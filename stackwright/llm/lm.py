@@ -15,9 +15,9 @@ Above the spelling stand contexts of ``CONTEXT_WORDS`` whole words, whose next
 symbol is the next word.  They live in a distributed table that grows with the
 corpus: every context met twice or more is a candidate, there is no cap on their
 number, and one is retained by the same divergence test against the tree.  A
-word after a retained context is scored there, smoothed towards the tree.  Only
-contexts whose hash is 0 modulo ``ANCHORS`` are candidates, the same ones in every
-text, which thins the table evenly.
+word after a retained context is scored there, smoothed towards the tree.  All
+places of all texts count and are scored (``ANCHORS`` is 1; at more, only
+contexts whose hash is 0 modulo it would be candidates).
 
 Beside it stands a unigram word model.  Word counts are exact, by 63-bit hash.
 Words of at least 1 in ``HEAD_SHARE`` tokens (so at most that many) are
@@ -51,7 +51,7 @@ HEAD_SHARE = 1 << 21
 ALPHA = 0.1
 #: Words in a context, the share of contexts that are candidates (one in so
 #: many), how often one must be met, and the weight of the tree's distribution.
-CONTEXT_WORDS, ANCHORS, LEAST_MET, TREE_WEIGHT = 2, 8, 2, 1.0
+CONTEXT_WORDS, ANCHORS, LEAST_MET, TREE_WEIGHT = 2, 1, 2, 1.0
 
 
 # --- symbols ----------------------------------------------------------------------------

@@ -467,6 +467,15 @@ def test_tree_sums_to_one_and_scores_by_longest_state(spark, real):
     assert got[0] == pytest.approx(want, rel=1e-5)
 
 
+def test_every_word_after_two_has_a_context(spark):
+    said = [" ".join(f"w{(i * k) % 41}" for i in range(k)) for k in range(60)]
+    words, counts = lm.count_words(df := spark.createDataFrame([(t,) for t in said], "text string"))
+    tree = lm.fit_tree(df, counts)
+    _, h, first, logp = lm.score_rows(*common.buffers(common.pa.array(said)), tree, tree.table())
+    row, *_ = lm.word_contexts(h, first, logp)
+    assert np.bincount(row, minlength=60).tolist() == [max(0, k - 2) for k in range(60)]
+
+
 def test_word_contexts_by_brute_force(spark, monkeypatch):
     # Every context is a candidate; scores are those of counts in plain Python.
     monkeypatch.setattr(lm, "ANCHORS", 1)
